@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import lookalike
+from quarry.llm import lookalike, tokens
 from quarry.runtime import table
 
 
@@ -18,8 +18,12 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_same_form(table(spark, sf_dir, "chunks").select("chunk_id", "text", "headings"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
