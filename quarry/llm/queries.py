@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import lookalike, tokens
+from quarry.llm import lookalike, sentences, split, tokens
 from quarry.runtime import table
 
 
@@ -18,13 +19,35 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_same_form(table(spark, sf_dir, "chunks").select("chunk_id", "text", "headings"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = table(spark, sf_dir, "chunk_params")
+    least = params.agg(F.min("max_chars")).first()[0]  # one number of a table of a few rows
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "doc_id", "text").filter(F.length("text") > least)
+    pieces = split.oversized(split.with_formats(chunks, table(spark, sf_dir, "documents")), params)
+    return pieces.filter("n_pieces > 1 and piece = 0").select("chunk_id")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = split.with_formats(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents"))
+    return split.split(chunks, table(spark, sf_dir, "chunk_params"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(sentences.plain_documents(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p6_ids)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p5_found, p5_pieces, p6_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": """
+            select distinct chunk_id from chunks c left join documents d on d.doc_key = c.doc_id
+            left join chunk_params p on p.format = lower(trim(d.format))
+            where length(c.text) > coalesce(p.max_chars, (select max_chars from chunk_params where format = 'default'))""",
+    }
