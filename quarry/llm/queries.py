@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lookalike, sentences, split, tokens
+from quarry.llm import lookalike, scans, sentences, split, tokens
 from quarry.runtime import table
 
 
@@ -19,6 +19,14 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_same_form(table(spark, sf_dir, "chunks").select("chunk_id", "text", "headings"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.found(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents"))
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = table(spark, sf_dir, "chunk_params")
     least = params.agg(F.min("max_chars")).first()[0]  # one number of a table of a few rows
@@ -41,7 +49,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p5_found, p5_pieces, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,10 +26,12 @@ from quarry.runtime import saved
 #: Lines of a page are no longer; text that was not scanned has its paragraphs in one line.
 PAGE_WIDTH = 90
 #: A form is the misreading of another if that is at least so many times as frequent, and this frequent.
-DOMINANCE, SUPPORT = 8, 6
+DOMINANCE, SUPPORT = 5, 4
 #: The same for parts of words, which are of so many syllables or letters at least.
 PART_DOMINANCE, PART_SUPPORT = 10, 20
 PART_SYLLABLES, PART_LETTERS = 2, 6
+#: A glyph is usual in its place if it is there more often than this.
+USUAL = 3
 #: A masked line that isn't a sentence's end is a running header if a document has it so often.
 REPEATS = 3
 
@@ -215,6 +217,19 @@ def repaired(word: pd.Series, key: pd.Series, good: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(T.StructType([T.StructField("bad_side", T.StringType()), T.StructField("good_side", T.StringType())]))
+def other_sides(word: pd.Series, right: pd.Series, part: pd.Series) -> pd.DataFrame:
+    """Of a word judged by one side, the parts from the other side up to the changed glyph, as it is and as put right."""
+    out = []
+    for w, r, p in zip(word, right, part):
+        i = next((i for i, (x, y) in enumerate(zip(w, r)) if x != y), 0)
+        if p[0] == "<" and p[-1] == ">" or len(w) != len(r):
+            out.append((None, None))
+        else:
+            out.append((f"{w[i:]}>", f"{r[i:]}>") if p[0] == "<" else (f"<{w[: i + 1]}", f"<{r[: i + 1]}"))
+    return pd.DataFrame(out, columns=["bad_side", "good_side"])
+
+
 @F.pandas_udf(T.BooleanType())
 def misreads(true: pd.Series, seen: pd.Series) -> pd.Series:
     return pd.Series([is_misreading(a, b) for a, b in zip(true, seen)], dtype=bool)
@@ -261,7 +276,12 @@ def analysed(scans: DataFrame) -> tuple[DataFrame, DataFrame]:
     enough = F.when(whole, (F.col("n_good") >= SUPPORT) & (F.col("n") * DOMINANCE <= F.col("n_good"))).otherwise((F.col("n_good") >= PART_SUPPORT) & (F.col("n") * PART_DOMINANCE <= F.col("n_good")))
     bad = keys.join(best, "skeleton").filter((F.col("key") != F.col("good")) & enough & misreads("good", "key")).select("key", "good")
     rank = F.struct(F.length("key"), F.col("key"), F.col("good"))
-    wrong = parts_of.join(bad, "key").groupBy("word").agg(F.max(rank).alias("r")).select("word", repaired("word", "r.key", "r.good").alias("right"))
+    wrong = parts_of.join(bad, "key").groupBy("word").agg(F.max(rank).alias("r")).select("word", F.col("r.key").alias("part"), repaired("word", "r.key", "r.good").alias("right"))
+    # seen from its other side the glyph must not be usual: the beginning of a word up to it, if its end was judged
+    wrong = wrong.withColumn("sides", other_sides("word", "right", "part"))
+    usual = keys.select(F.col("key").alias("bad_side"), F.col("n").alias("n_bad"))
+    better = keys.select(F.col("key").alias("good_side"), F.col("n").alias("n_good"))
+    wrong = wrong.select("word", "right", "sides.*").join(usual, "bad_side", "left").join(better, "good_side", "left").filter((F.coalesce("n_bad", F.lit(0)) <= USUAL) | (F.col("n_bad") <= F.coalesce("n_good", F.lit(0)))).select("word", "right")
     wrong = saved(wrong)
     tokens = body.select("chunk_id", "line_no", F.explode("words").alias("seen")).withColumn("word", F.lower("seen"))
     found = tokens.join(wrong, "word").groupBy("chunk_id", "line_no").agg(F.collect_list("seen").alias("wrong"), F.collect_list("right").alias("right"))
