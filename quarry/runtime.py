@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,17 @@ def saved(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the package to the executors, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_quarry_shipped", None) is None:
+        home = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in home.rglob("*.py"):
+                z.write(f, f.relative_to(home.parent))
+        context.addPyFile(str(target))
+        context._quarry_shipped = str(target)
+    return spark
