@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lookalike, scans, sentences, split, tokens
+from quarry.llm import lookalike, neardup, scans, sentences, split, tokens
 from quarry.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, sf_dir, "chunks"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "chunks"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alikes(table(spark, sf_dir, "chunks"))
 
@@ -49,7 +57,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_forms, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
