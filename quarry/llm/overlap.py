@@ -3,26 +3,36 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.lookalike import same_form_array
+
 #: No overlap is longer; so much of the chunk before is looked at, and no more of its text moves in a shuffle.
-LONGEST = 400
+LONGEST = 600
 
 
 def overlap_length(before: str | None, text: str | None) -> int:
     """The length of the longest beginning of ``text``, up to a line break, with which ``before`` ends; 0 if there is none.
 
-    The line break itself is counted, so that ``text[overlap_length(...):]`` is the chunk's own text.
+    The line break itself is counted, so that ``text[overlap_length(...):]`` is the chunk's own text. If no beginning
+    ends the chunk before character by character, what they look like decides (problem 2): a file may have been exported
+    in other characters.
     """
     if not before or not text:
         return 0
-    at = text.rfind("\n", 0, LONGEST + 1)
-    while at > 0:
-        if before.endswith(text[:at]):
+    breaks = [i for i, c in enumerate(text[: LONGEST + 1]) if c == "\n"]
+    for at in reversed(breaks):
+        if at and before.endswith(text[:at]):
             return at + 1
-        at = text.rfind("\n", 0, at)
+    if breaks and not (before.isascii() and text[: breaks[-1]].isascii()):
+        seen, head = (x.as_py() for x in same_form_array(pa.array([before, text[: breaks[-1] + 1]])))
+        marks = [i for i, c in enumerate(head) if c == "\n"]
+        for at, mark in zip(reversed(breaks), reversed(marks)):
+            if mark > 1 and seen.endswith(head[:mark]):
+                return at + 1
     return 0
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lookalike, neardup, scans, sentences, split, tokens
+from quarry.llm import budget, lookalike, neardup, scans, sentences, split, tokens
 from quarry.runtime import table
 
 
@@ -27,6 +27,14 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_same_form(table(spark, sf_dir, "chunks").select("chunk_id", "text", "headings"))
 
 
+def p3_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.slices(budget.update(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents")).cube)
+
+
+def p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.update(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents")).snapshot.drop("h1", "h2", "n_parts")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.found(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents"))
 
@@ -57,7 +65,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_forms, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_forms, p3_slices, p3_documents, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
