@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import budget, lookalike, neardup, scans, sentences, split, tokens
+from quarry.llm import budget, lookalike, neardup, packing, scans, sentences, split, tokens
 from quarry.runtime import table
 
 
@@ -60,12 +60,26 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = table(spark, sf_dir, "size_limits")
+    tokenizers = sorted({r.tokenizer for r in limits.select("tokenizer").distinct().collect()})  # a table of a few rows
+    return packing.pack(packing.sizes(table(spark, sf_dir, "documents"), tokenizers), limits)
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.usage(_packed(spark, sf_dir), table(spark, sf_dir, "size_limits"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(sentences.plain_documents(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_forms, p3_slices, p3_documents, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_forms, p3_slices, p3_documents, p4_found, p4_paragraphs, p5_found, p5_pieces, p6_ids, p7_containers, p7_usage, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
