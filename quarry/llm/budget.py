@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import arrow_text as A
 from quarry.llm.overlap import LONGEST, own_text
-from quarry.llm.tokens import TOKENIZERS, trie
+from quarry.llm.tokens import TOKENIZERS, word_counts
 
 # Formats by file ending, and scripts of languages.
 FORMATS = {"pdf": "pdf", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "xls": "xlsx", "hwp": "hwp", "txt": "txt", "csv": "txt", "html": "txt", "htm": "txt", "md": "txt"}
@@ -81,12 +81,12 @@ def counted(parts: DataFrame, tokenizer: str, folder: str = TOKENIZERS) -> DataF
     """(doc_id, h1, h2, n_parts, tokenizer, n_tokens, n_chars, hangul .. umlaut): every given document encoded."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = trie(tokenizer, folder), _script_table()
+        own, table = word_counts((tokenizer,), folder), _script_table()
         for batch in A.runs(batches, "own"):
             points, offsets = A.code_points(batch.column("own"))
             letters = np.bincount(A.rows_of(offsets) * 7 + table[points], minlength=len(batch) * 7).reshape(-1, 7)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("p1"), batch.column("p2"), pa.array(own.counts(batch.column("own").to_pylist())), pa.array(np.diff(offsets)), *(pa.array(letters[:, k].astype(np.int64)) for k in range(1, 7))],
+                [batch.column("doc_id"), batch.column("p1"), batch.column("p2"), pa.array(own.counts(batch.column("own").to_pylist())[0]), pa.array(np.diff(offsets)), *(pa.array(letters[:, k].astype(np.int64)) for k in range(1, 7))],
                 names=["doc_id", "p1", "p2", "n_tokens", "n_chars", *SCRIPTS],
             )
 

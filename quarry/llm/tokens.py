@@ -91,6 +91,46 @@ class WordTrie:
         self._fits[left, right] = answer
         return answer
 
+    def lengths(self, raws: list[bytes]) -> list[int]:
+        """The number of ids of each of these words, sorted by their bytes: the walk of :meth:`learn` with nothing but counts kept."""
+        heads, fits, rank = self.heads, self._fits, self.rank
+        fit = self.fits
+        last: list[int] = [0]
+        live: list[list[int]] = [[]]
+        many: list[int] = [0]  # by depth: the number of ids of the prefix of that length
+        before, out = b"", []
+        for raw in raws:
+            n, shared = len(raw), 0
+            for x, y in zip(raw, before):
+                if x != y:
+                    break
+                shared += 1
+            if raw in rank and n > shared + 4:  # a token itself, and long: no walk, as if it weren't there
+                out.append(1)
+                continue
+            del last[shared + 1 :], live[shared + 1 :], many[shared + 1 :]
+            for end in range(shared + 1, n + 1):
+                still, token = [], -1
+                for start in (*live[-1], end - 1):
+                    known = heads.get(raw[start:end])
+                    if known is not None:
+                        still.append(start)
+                        if token < 0 <= known:
+                            if start == 0:
+                                token, count = known, 1
+                            else:
+                                ok = fits.get((last[start], known))
+                                if ok is None:
+                                    ok = fit(last[start], known)
+                                if ok:
+                                    token, count = known, many[start] + 1
+                last.append(token)
+                live.append(still)
+                many.append(count)
+            before = raw
+            out.append(many[n])
+        return out
+
     def learn(self, words: Iterable[str]) -> None:
         """Encodes words that are not known yet, in the depth-first order of their trie."""
         new = [w for w in words if w not in self.ids]
@@ -138,10 +178,40 @@ class WordTrie:
         flat = np.fromiter(chain.from_iterable(map(ids.__getitem__, chain.from_iterable(found))), np.int32, sum(sizes))
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
 
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        """The number of ids of each text."""
-        found, ids = self.words(texts), self.ids
-        return np.array([sum(map(len, map(ids.__getitem__, words))) for words in found], np.int64)
+
+class WordCounts:
+    """Counts the ids of texts under several vocabularies, which share the splitting, the words and their order."""
+
+    def __init__(self, tries: list[WordTrie]) -> None:
+        self.tries, self.split = tries, tries[0].split
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.size = np.zeros((len(self.tries), 1 << 16), np.int32)
+
+    def counts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The number of ids of each text, for each vocabulary; 0 for null and empty texts."""
+        if len(self.place) > KNOWN_WORDS:
+            self._forget()
+        found = [self.split(t) if t else [] for t in texts]
+        place = self.place
+        new = sorted((w.encode("utf-8", "replace"), w) for w in set().union(*found) if w not in place)
+        if new:
+            first, end = len(place), len(place) + len(new)
+            if end > self.size.shape[1]:
+                self.size = np.concatenate((self.size, np.zeros((len(self.tries), max(end, self.size.shape[1])), np.int32)), 1)
+            raws = [r for r, _ in new]
+            for row, own in zip(self.size, self.tries):
+                row[first:end] = own.lengths(raws)
+            place.update((w, k) for k, (_, w) in enumerate(new, first))
+        ends = np.concatenate(([0], np.cumsum([len(f) for f in found])))
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int64, int(ends[-1]))
+        sums = []
+        for row in self.size:
+            total = np.concatenate(([0], np.cumsum(row[at], dtype=np.int64)))
+            sums.append(total[ends[1:]] - total[ends[:-1]])
+        return sums
 
 
 @lru_cache(maxsize=4)
@@ -150,6 +220,12 @@ def trie(tokenizer: str, folder: str = TOKENIZERS) -> WordTrie:
     return WordTrie(os.path.join(folder, f"{tokenizer}.tiktoken"))
 
 
+@lru_cache(maxsize=4)
+def word_counts(tokenizers: tuple[str, ...], folder: str = TOKENIZERS) -> WordCounts:
+    """The counter of some tokenizers, kept by the worker from batch to batch."""
+    return WordCounts([trie(t, folder) for t in tokenizers])
+
+
 def encoded(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """``df`` with its text column replaced by ``ids``, the list of token ids; no special tokens, whose strings are ordinary text.
 
