@@ -31,7 +31,7 @@ def overlap_length(before: str | None, text: str | None) -> int:
         seen, head = (x.as_py() for x in same_form_array(pa.array([before, text[: breaks[-1] + 1]])))
         marks = [i for i, c in enumerate(head) if c == "\n"]
         for at, mark in zip(reversed(breaks), reversed(marks)):
-            if mark > 1 and seen.endswith(head[:mark]):
+            if mark > 0 and seen.endswith(head[:mark]):
                 return at + 1
     return 0
 

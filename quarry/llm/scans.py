@@ -34,6 +34,8 @@ PART_SYLLABLES, PART_LETTERS = 2, 6
 USUAL = 3
 #: A masked line that isn't a sentence's end is a running header if a document has it so often.
 REPEATS = 3
+#: ... and if it is no wider than this part of the page's lines, as lines of running text may repeat too.
+HEADER_PART = 0.8
 
 # Glyphs and what they are misread as; for Hangul the parts of a syllable.
 MISREAD = {"e": "c", "t": "f", "i": "l", "l": "1", "o": "0", "s": "5", "g": "9", "d": "cl", "m": "rn", "u": "ii", "h": "li", "w": "vv", "rn": "m", "0": "o", "5": "s", "8": "b", "1": "l"}
@@ -149,7 +151,7 @@ def _lines(chunk_id: str, doc_id: str, order: int, text: str, before: str | None
         k = i - shared
         bare = line.strip()
         number = _is_page_number(bare) or bool(NUMBERED.match(bare))
-        mask = re.sub(r"\W+", "", re.sub(r"\d+", "#", skeleton(line))) if k >= 0 and plain[k] and open_[k] else None
+        mask = re.sub(r"\W+", "", re.sub(r"\d+", "#", skeleton(line))) if k >= 0 and plain[k] and open_[k] and len(bare) <= HEADER_PART * width else None
         short = k >= 0 and plain[k] and fits(k, loose)
         rows.append((chunk_id, doc_id, order, i, line, i - shared, shared, len(own), number or k in loose, mask, bool(NUMBERS.match(line)), short, nexts))
     return rows

@@ -176,7 +176,7 @@ class WordTrie:
         found, ids = self.words(texts), self.ids
         sizes = [sum(len(ids[w]) for w in words) for words in found]
         flat = np.fromiter(chain.from_iterable(map(ids.__getitem__, chain.from_iterable(found))), np.int32, sum(sizes))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32()), pa.array(flat))
 
 
 class WordCounts:
@@ -205,7 +205,7 @@ class WordCounts:
             for row, own in zip(self.size, self.tries):
                 row[first:end] = own.lengths(raws)
             place.update((w, k) for k, (_, w) in enumerate(new, first))
-        ends = np.concatenate(([0], np.cumsum([len(f) for f in found])))
+        ends = np.concatenate(([0], np.cumsum([len(f) for f in found], dtype=np.int64)))
         at = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int64, int(ends[-1]))
         sums = []
         for row in self.size:
