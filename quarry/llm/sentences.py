@@ -10,6 +10,7 @@ with their places remembered.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -88,9 +89,11 @@ ENDS = {lang: re.compile(rf"(?:[.!?。！？｡…‥]+[{CLOSERS}{'“‘' if la
 ENDS["th"] = re.compile(rf"(?:[.!?。！？…]+[{CLOSERS}]*)+|(?<=[{THAI}{CLOSERS}])(?=\s)")
 LIST_MARK = re.compile(r"[ \t]*(?:[-–—•·○●◦▪▫■□◆◇▶►※*∙]|[①-⑳]|[ⅰ-ⅹⅠ-Ⅹ]\.|\(\d{1,2}\)|\d{1,2}\))\s")
 LINE = re.compile(r"\r\n|[\n\r  \x0b\x0c\x85]")
-FUNCTION_WORDS = {lang: re.compile(rf"\b(?:{words})\b") for lang, words in {"de": "der|die|das|und|wurde|nach|ist|für|nicht|mit|den|eine|werden", "en": "the|of|and|was|is|to|in|by|for|with|are|were|not"}.items()}
+FUNCTION_WORDS = {lang: re.compile(rf"\b(?:{words})\b") for lang, words in {"en": "the|of|and|was|is|to|in|by|for|with|are|were|not", "de": "der|die|das|und|wurde|nach|ist|für|nicht|mit|den|eine|werden"}.items()}
 SCRIPTS = [("th", re.compile(rf"[{THAI}]")), ("ko", re.compile(rf"[{HANGUL}]")), ("ja", re.compile(rf"[{KANA}]")), ("zh", re.compile(rf"[{HAN}]"))]
 WINDOW = 32
+#: A paragraph of Latin letters is told by its words if it has so many characters, else it has the text's language.
+SHORT_BLOCK = 40
 
 
 @lru_cache(maxsize=1)
@@ -98,7 +101,7 @@ def _shadow_tables() -> tuple[dict[int, int], re.Pattern]:
     one = {ord(a): ord(b) for a, b in SAME_GLYPH.items() if len(b) == 1}
     one |= {c: c - 0xFEE0 for c in range(0xFF10, 0xFF5B) if chr(c - 0xFEE0).isalnum()} | {0xFF0E: 0x2E}
     one |= {b: 0x20 for b in BLANKS if b != 9}
-    return one, re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
+    return one, re.compile("[" + "".join(map(chr, INVISIBLE)) + "]|([ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?)")
 
 
 @lru_cache(maxsize=1)
@@ -138,18 +141,43 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def _shadow(text: str) -> tuple[str, list[int] | None]:
+    """The text's shadow, and the place in the text of each of its characters; None if they are the same.
+
+    Invisible characters have no shadow, and conjoining jamo one for each syllable.
+    """
+    one, special = _shadow_tables()
+    shadow = text.translate(one)
+    if not special.search(shadow):
+        return shadow, None
+    parts, place, at = [], [], 0
+    for m in special.finditer(shadow):
+        parts.append(shadow[at : m.start()])
+        place.extend(range(at, m.start()))
+        if m[1]:
+            parts.append(unicodedata.normalize("NFC", m[1]))
+            place.append(m.start())
+        at = m.end()
+    parts.append(shadow[at:])
+    place.extend(range(at, len(shadow)))
+    return "".join(parts), place
+
+
+def _language_of_block(block: str, whole: str) -> str:
+    """A paragraph's own language: a text may hold several. Latin letters decide only if there are no others, and enough."""
+    if any(p.search(block) for _, p in SCRIPTS):
+        return max(((len(p.findall(block)) * (5 if lang == "ja" else 1), lang) for lang, p in SCRIPTS))[1]
+    if whole in FUNCTION_WORDS or len(block) < SHORT_BLOCK:
+        return whole
+    return language_of(block)
+
+
 def starts(text: str | None) -> list[int]:
     """Offsets of the first characters of a text's units; none for null, empty and blank texts."""
     if not text or text.isspace():
         return []
-    one, invisible = _shadow_tables()
-    shadow, place = text.translate(one), None
-    if invisible.search(shadow):
-        hidden = {m.start() for m in invisible.finditer(shadow)}
-        place = [i for i in range(len(text)) if i not in hidden]
-        shadow = invisible.sub("", shadow)
-    lang = language_of(shadow)
-    ends, rules = ENDS[lang], _rules()[lang]
+    shadow, place = _shadow(text)
+    whole = language_of(shadow)
     out = []
     for start, end in _blocks(shadow):
         while start < end and shadow[start].isspace():
@@ -157,7 +185,9 @@ def starts(text: str | None) -> list[int]:
         out.append(start)
         mark = LIST_MARK.match(shadow, start, end)
         begin = mark.end() if mark else start
-        for m in ends.finditer(shadow, begin, end):
+        lang = _language_of_block(shadow[begin:end], whole)
+        rules = _rules()[lang]
+        for m in ENDS[lang].finditer(shadow, begin, end):
             p = m.end()
             before, after = shadow[max(begin, p - WINDOW) : p], shadow[p : min(end, p + WINDOW)].replace("\n", " ")
             if not after.strip():
