@@ -44,7 +44,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 30, item: str = "chunk
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({query: [], item: [], "score": []})
+            return pd.DataFrame({query: pd.Series(dtype=object), item: pd.Series(dtype=object), "score": pd.Series(dtype=float)})
         a = a.sort_values("_item", ignore_index=True)
         scores = unit(b["_v"]) @ unit(a["_v"]).T
         n = min(k, len(a))

@@ -1,9 +1,10 @@
 """Sources, gates, store, chunks, ingestion, search and streaming on small inputs."""
 
 import os
+from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,8 +30,8 @@ def test_walk_keeps_hidden_files_and_drops_locks(spark, tmp_path):
 
 
 def test_latest_scan(spark):
-    day = pd.Timestamp("2030-01-01")
-    rows = [("r", "p", "p", 1, 1.0, day, day), ("r", "p", "p", 2, 2.0, day + pd.Timedelta("1D"), day), ("r", "p", "p", 2, 2.0, day + pd.Timedelta("1D"), day), ("r", "q", "q", None, None, day, day), ("r", None, None, 1, 1.0, day, day)]
+    day = datetime(2030, 1, 1)
+    rows = [("r", "p", "p", 1, 1.0, day, day), ("r", "p", "p", 2, 2.0, day + timedelta(1), day), ("r", "p", "p", 2, 2.0, day + timedelta(1), day), ("r", "q", "q", None, None, day, day), ("r", None, None, 1, 1.0, day, day)]
     df = spark.createDataFrame(rows, "root string, path string, rel_path string, size_bytes long, mtime double, seen_at timestamp, loaded_at timestamp")
     assert sorted((r.rel_path, r.size_bytes) for r in listing.latest(df).collect()) == [("p", 2), ("q", None)]
     assert listing.latest(df.limit(0)).count() == 0
@@ -195,7 +196,7 @@ def test_fusion_against_a_dict(spark, dense_order, sparse_order, n, m):
 
 
 def corpus(spark):
-    rows = [(f"c{i}", f"doc{i}", 0, f"text number {i} about {'pumps' if i % 2 else 'budgets'} and more", "1단계" if i < 5 else "2단계", "pdf" if i % 2 else "hwp") for i in range(12)]
+    rows = [(f"c{i}", f"doc{i}", 0, f"text number n{i:02} about {'pumps' if i % 2 else 'budgets'} and more", "1단계" if i < 5 else "2단계", "pdf" if i % 2 else "hwp") for i in range(12)]
     df = spark.createDataFrame(rows, "chunk_id string, doc_id string, ord int, text string, stage string, format string")
     return df.selectExpr("*", "'f' file_name", "'r' rel_path", "cast(null as int) page_no", "cast(null as array<string>) headings")
 
@@ -203,7 +204,7 @@ def corpus(spark):
 def test_search(spark):
     chunks = corpus(spark)
     vectors = embed.embedded(chunks.select("chunk_id", "text"), "text").drop("text").filter("chunk_id <> 'c3'").unionByName(spark.createDataFrame([("gone", [1.0] * 64)], "chunk_id string, embedding array<float>"))
-    asked = spark.createDataFrame([("q1", "pumps number 5")], "query_id string, text string")
+    asked = spark.createDataFrame([("q1", "pumps number n05")], "query_id string, text string")
     hits = search.search(chunks, vectors, asked).orderBy("rank").collect()
     assert len(hits) == 5 and hits[0].chunk_id == "c5" and hits[0].source.format == "pdf"
     assert all(h.chunk_id not in ("c3", "gone") for h in hits)  # a hole in the vectors shifts nothing
@@ -259,13 +260,13 @@ def test_ndcg(spark):
 
 def test_stream_of_scans(spark, tmp_path):
     schema = "root string, path string, rel_path string, ext string, size_bytes long, mtime double, seen_at timestamp, loaded_at timestamp"
-    t = pd.Timestamp("2030-01-01 10:00")
+    t = datetime(2030, 1, 1, 10)
     rows = [("r", "p", "a.txt", "txt", 1, 1.0, t, t), ("r", "p", "b.txt", "txt", 1, 1.0, t, t)]
     folder, table = tmp_path / "in", store.Snapshots(spark, str(tmp_path / "t"))
     spark.createDataFrame(rows, schema).write.parquet(str(folder))
     follow = lambda: stream.follow(stream.scans(spark, str(folder), schema), table, str(tmp_path / "ck")).awaitTermination()
     follow()
-    later = [("r", "p", "a.txt", "txt", 9, 2.0, t + pd.Timedelta("1D"), t), ("r", "p", "b.txt", "txt", 7, 0.5, t - pd.Timedelta("1D"), t + pd.Timedelta("2D"))]
+    later = [("r", "p", "a.txt", "txt", 9, 2.0, t + timedelta(1), t), ("r", "p", "b.txt", "txt", 7, 0.5, t - timedelta(1), t + timedelta(2))]
     spark.createDataFrame(later, schema).write.mode("append").parquet(str(folder))
     follow()
     assert sorted((r.rel_path, r.size_bytes) for r in table.read().collect()) == [("a.txt", 9), ("b.txt", 1)]
@@ -284,3 +285,22 @@ def test_config(tmp_path, monkeypatch):
     load_env(str(tmp_path / ".env"))
     assert os.environ["QUARRY_KEY"] == "real"
     assert Config().params("xlsx") == ChunkParams(768, 0) and Config().params("odd") == ChunkParams()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarry import cli
+
+    (tmp_path / "in" / "1단계").mkdir(parents=True)
+    (tmp_path / "in" / "1단계" / "a.md").write_text("# Pumps\n\nThe pumps of the cooling unit were tested and approved by the team.")
+    (tmp_path / "in" / "b.txt").write_text("The budget of the second year was approved by the office after a review.")
+    index = str(tmp_path / "index")
+    assert cli.main(["build", str(tmp_path / "in"), "--index", index]) == 0
+    assert cli.main(["query", "pumps", "--index", index, "--top-k", "1"]) == 0
+    assert "a.md" in capsys.readouterr().out
+    assert cli.main(["query", "pumps", "--index", index, "--stage", "none"]) == 1
+    assert cli.main(["stats", "--index", index]) == 0
+    assert '"documents_ok": 2' in capsys.readouterr().out
+    assert cli.main(["build", str(tmp_path / "in"), "--index", index, "--skip-ingest", "--quiet"]) == 0
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "z.zip").write_text("z")
+    assert cli.main(["build", str(tmp_path / "none"), "--index", str(tmp_path / "other"), "--quiet"]) == 1
