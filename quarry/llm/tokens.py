@@ -37,10 +37,15 @@ class WordTrie:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {i: t for t, i in self.rank.items()}
         self.heads = {t[:k]: -1 for t in self.rank for k in range(1, len(t))} | self.rank  # every beginning of a token
-        self.ids: dict[str, tuple[int, ...]] = {}
         self._halves: dict[int, tuple[int, int]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self.split = regex.compile(WORDS).findall
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word known: no place for any, and no ids in the pool that a word's place points into."""
+        self.place: dict[str, int] = {}
+        self.first, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _parts(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes a token, found by merging its bytes in rank order until two are left."""
@@ -133,19 +138,23 @@ class WordTrie:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encodes words that are not known yet, in the depth-first order of their trie."""
-        new = [w for w in words if w not in self.ids]
+        new = sorted((w.encode("utf-8", "replace"), w) for w in words if w not in self.place)
         if not new:
             return
-        heads, fits, bytes_of = self.heads, self.fits, self.bytes_of
+        made: list[tuple[int, ...] | list[int]] = []
+        heads, known_fits, fits, bytes_of, rank = self.heads, self._fits, self.fits, self.bytes_of, self.rank
         last: list[int] = [0]  # by depth: the last token of the prefix of that length
         live: list[list[int]] = [[]]  # by depth: the starts from which some token may still grow
         before = b""
-        for raw, word in sorted((w.encode("utf-8", "replace"), w) for w in new):
+        for raw, _ in new:
             n, shared = len(raw), 0
             for x, y in zip(raw, before):
                 if x != y:
                     break
                 shared += 1
+            if raw in rank and n > shared + 4:  # a token itself, and long: no walk, as if it weren't there
+                made.append((rank[raw],))
+                continue
             del last[shared + 1 :], live[shared + 1 :]
             for end in range(shared + 1, n + 1):
                 still, token = [], -1
@@ -153,30 +162,40 @@ class WordTrie:
                     known = heads.get(raw[start:end])
                     if known is not None:
                         still.append(start)
-                        if token < 0 <= known and (start == 0 or fits(last[start], known)):
-                            token = known
+                        if token < 0 <= known:
+                            if start == 0:
+                                token = known
+                            else:
+                                ok = known_fits.get((last[start], known))
+                                if ok is None:
+                                    ok = fits(last[start], known)
+                                if ok:
+                                    token = known
                 last.append(token)
                 live.append(still)
             before, out, end = raw, [], n
             while end > 0:
                 out.append(last[end])
                 end -= len(bytes_of[last[end]])
-            self.ids[word] = tuple(out[::-1])
-
-    def words(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text, all of them known afterwards."""
-        found = [self.split(t) if t else [] for t in texts]
-        if len(self.ids) > KNOWN_WORDS:
-            self.ids.clear()
-        self.learn(set().union(*found))
-        return found
+            made.append(out[::-1])
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        self.place.update((w, k) for k, (_, w) in enumerate(new, len(self.place)))
+        self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(made), np.int32, int(size.sum()))))
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         """List<int32> of the texts' ids; empty for an empty and for a null text."""
-        found, ids = self.words(texts), self.ids
-        sizes = [sum(len(ids[w]) for w in words) for words in found]
-        flat = np.fromiter(chain.from_iterable(map(ids.__getitem__, chain.from_iterable(found))), np.int32, sum(sizes))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32()), pa.array(flat))
+        found = [self.split(t) if t else [] for t in texts]
+        if len(self.place) > KNOWN_WORDS:
+            self._forget()
+        self.learn(set().union(*found))
+        words = np.concatenate(([0], np.cumsum([len(f) for f in found], dtype=np.int64)))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(found)), np.int64, int(words[-1]))
+        size = self.size[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.pool[np.repeat(self.first[at] - ends[:-1], size) + np.arange(ends[-1])]
+        return pa.ListArray.from_arrays(pa.array(ends[words], pa.int32()), pa.array(ids))
 
 
 class WordCounts:
