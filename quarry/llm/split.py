@@ -25,6 +25,8 @@ from quarry.llm import arrow_text as A
 LEAST_FILL = 0.5
 #: Rows of a document are numbered within runs of so many before the runs are added up, so that no document makes one task.
 ORD_RUN = 4096
+#: Columns of chunks that the pieces keep; others have no meaning for a piece and are left out.
+COLUMNS = ("chunk_id", "doc_id", "ord", "text", "headings", "page_no", "source")
 # Marks that end a sentence, and those that may close it.
 END_MARKS = ".!?。！？｡…"
 CLOSING = "\"'”’»」』》〉）)]】"
@@ -141,11 +143,11 @@ def oversized(chunks: DataFrame, params: DataFrame) -> DataFrame:
 
 def with_limits(chunks: DataFrame, params: DataFrame) -> DataFrame:
     """Chunks with the max_chars and overlap_chars of their format. ``params`` has a row for each format, a few in all."""
-    rows = params.select(F.lower(F.trim("format")).alias("name"), "max_chars", "overlap_chars").dropDuplicates(["name"])
-    default = rows.filter("name = 'default'").select(F.col("max_chars").alias("d_max"), F.col("overlap_chars").alias("d_overlap"))
-    own = chunks.withColumn("name", F.lower(F.trim("format"))).drop("max_chars", "overlap_chars")
-    own = own.join(F.broadcast(rows), "name", "left").crossJoin(F.broadcast(default.limit(1)))  # one row: a constant
-    return own.withColumn("max_chars", F.coalesce("max_chars", "d_max")).withColumn("overlap_chars", F.coalesce("overlap_chars", "d_overlap", F.lit(0))).drop("name", "d_max", "d_overlap")
+    rows = params.select(F.lower(F.trim("format")).alias("_name"), "max_chars", "overlap_chars").dropDuplicates(["_name"])
+    default = rows.filter("_name = 'default'").select(F.col("max_chars").alias("_max"), F.col("overlap_chars").alias("_overlap"))
+    own = chunks.select(*(c for c in COLUMNS if c in chunks.columns), F.lower(F.trim("format")).alias("_name"))
+    own = own.join(F.broadcast(rows), "_name", "left").crossJoin(F.broadcast(default.limit(1)))  # one row: a constant
+    return own.withColumn("max_chars", F.coalesce("max_chars", "_max")).withColumn("overlap_chars", F.coalesce("overlap_chars", "_overlap", F.lit(0))).drop("_name", "_max", "_overlap")
 
 
 def _pieces(limited: DataFrame) -> DataFrame:
@@ -183,4 +185,4 @@ def _pieces(limited: DataFrame) -> DataFrame:
 def with_formats(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Distinct chunks with the format of their document; chunks without a document have none."""
     formats = documents.select(F.col("doc_key").alias("doc_id"), "format").dropDuplicates(["doc_id"])
-    return chunks.drop("format").dropDuplicates(["chunk_id"]).join(formats, "doc_id", "left")
+    return chunks.select(*(c for c in COLUMNS if c in chunks.columns)).dropDuplicates(["chunk_id"]).join(formats, "doc_id", "left")
