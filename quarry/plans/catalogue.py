@@ -369,6 +369,38 @@ def min_chars(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", "ord", F.length(X.strip(text)).alias("solid_chars"), X.long_enough(text, 300).alias("kept"))
 
 
+@query(f"select doc_id, trim(regexp_replace(regexp_replace(text, '{BLANK_SQL}+', ' ', 'g'), '^ | $', '', 'g'), ' ') as flat, replace(text, '|', '\\|') = text as no_bars from documents where text is not null")
+def flat_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts on one line, and whether a cell would have to escape something."""
+    rows = table(spark, d, "documents").filter("text is not null")
+    return rows.select("doc_id", X.flat(F.col("text")).alias("flat"), (X.html_cell(F.col("text")) == F.col("text")).alias("no_bars"))
+
+
+@query("select chunk_id, ord, to_json(coalesce(headings, [])) as headings_json, coalesce(page_no, 0) > 0 as has_page from chunks")
+def headings_export(spark: SparkSession, d: str) -> DataFrame:
+    """Headings as JSON, as only an export needs them."""
+    return table(spark, d, "chunks").select("chunk_id", "ord", F.to_json(F.coalesce("headings", F.array().cast("array<string>"))).alias("headings_json"), (F.coalesce("page_no", F.lit(0)) > 0).alias("has_page"))
+
+
+@query("""
+    select query_id, ranker, chunk_id, rank, cast(row_number() over (partition by query_id, ranker order by rank, chunk_id) as int) as position,
+      rank - row_number() over (partition by query_id, ranker order by rank, chunk_id) = 0 as dense from ranked_list""")
+def rank_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks from 1 by the order of each list."""
+    order = W.Window.partitionBy("query_id", "ranker").orderBy("rank", "chunk_id")
+    rows = table(spark, d, "ranked_list").withColumn("position", F.row_number().over(order))
+    return rows.select("query_id", "ranker", "chunk_id", "rank", F.col("position").cast("int").alias("position"), (F.col("rank") - F.col("position") == 0).alias("dense"))
+
+
+@query("""
+    select coalesce(d.status, 'no document') as status, count(*) as chunks, count(*) filter (d.status is distinct from 'ok') as stale from chunks c left join documents d on d.doc_key = c.doc_id group by 1""")
+def stale_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by their document's status: those of documents that failed later are still searched unless asked otherwise."""
+    docs = table(spark, d, "documents").select(F.col("doc_key").alias("doc_id"), "status")
+    rows = table(spark, d, "chunks").select("doc_id").join(docs, "doc_id", "left")
+    return rows.groupBy(F.coalesce("status", F.lit("no document")).alias("status")).agg(F.count("*").alias("chunks"), F.count_if(~F.col("status").eqNullSafe("ok")).alias("stale"))
+
+
 PARAMS_SQL = """
     p as (select c.*, lower(trim(d.format)) as fmt, coalesce(o.overlap_tokens, z.overlap_tokens) as overlap_tokens, coalesce(o.max_tokens, z.max_tokens) as max_tokens
       from (select distinct on (chunk_id) chunk_id, doc_id, ord, text from chunks) c left join documents d on d.doc_key = c.doc_id left join chunk_params o on o.format = lower(trim(d.format))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,14 +29,27 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Gives the package to the executors, once for each context."""
+    """Gives the package to the executors, once for each context.
+
+    Where the session names a shared checkpoint folder the archive lies there; only on a session without one, as in tests on
+    one machine, it lies in a temporary folder.
+    """
     context = spark.sparkContext
     if getattr(context, "_quarry_shipped", None) is None:
-        home = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in home.rglob("*.py"):
+        home, archive = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(home.rglob("*.py")):
                 z.write(f, f.relative_to(home.parent))
-        context.addPyFile(str(target))
-        context._quarry_shipped = str(target)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared:
+            target = f"{shared.rstrip('/')}/quarry-{uuid.uuid4().hex}.zip"
+            path = context._jvm.org.apache.hadoop.fs.Path(target)
+            out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+            out.write(bytearray(archive.getvalue()))
+            out.close()
+        else:
+            target = str(Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry.zip")
+            Path(target).write_bytes(archive.getvalue())
+        context.addPyFile(target)
+        context._quarry_shipped = target
     return spark
