@@ -376,7 +376,7 @@ def flat_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", X.flat(F.col("text")).alias("flat"), (X.html_cell(F.col("text")) == F.col("text")).alias("no_bars"))
 
 
-@query("select chunk_id, ord, to_json(coalesce(headings, [])) as headings_json, coalesce(page_no, 0) > 0 as has_page from chunks")
+@query("select chunk_id, ord, cast(to_json(coalesce(headings, [])) as varchar) as headings_json, coalesce(page_no, 0) > 0 as has_page from chunks")
 def headings_export(spark: SparkSession, d: str) -> DataFrame:
     """Headings as JSON, as only an export needs them."""
     return table(spark, d, "chunks").select("chunk_id", "ord", F.to_json(F.coalesce("headings", F.array().cast("array<string>"))).alias("headings_json"), (F.coalesce("page_no", F.lit(0)) > 0).alias("has_page"))
