@@ -22,6 +22,7 @@ HEADINGS = [
     (r"^[○●◎]{b}*{s}", 4),
     (r"^[(（]{b}*\p{Nd}+{b}*[)）]{b}*{s}", 4),
 ]
+# Ends of Korean sentences.
 SENTENCE_ENDS = ("다.", "요.", "임.", "함.")
 
 
