@@ -56,9 +56,8 @@ SENTENCE_END = re.compile(r"[.!?…。！？][\"”’“»)\]]*\s*\Z")
 WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 SPLIT_WORD = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*\Z")
 FIRST_WORD = re.compile(r"\s*([^\W\d_]+)")
-# a digit among small letters, or a letter among digits
+# a digit among small letters; then numbers that may hold letters, and codes that hold digits
 DIGIT_IN_WORD = re.compile(r"(?<=[a-zäöüß])[0159](?=[a-zäöüß])|(?<=[a-zäöüß]{2})[0159]\Z|\A[0159](?=[a-zäöüß]{3})")
-LETTER_IN_NUMBER = re.compile(r"(?<![^\W\d_])(?:\d+[OSBlI]\d*|[OSBlI]\d+)(?=[.,]\d|\Z)")
 NUMBER = re.compile(r"(?<![\w-])[\dOSBlI]+(?:[.,][\dOSBlI]+)+|(?<![\w])\d[\dOSBlI]{2,}(?!\w)|(?<=[A-Z]-)[\dOSBlI]{3,}(?!\w)|(?<![\w-])(?:[OSlI]\d+|\d+[OSlI])(?!\w)")
 CODE = re.compile(r"[A-Z]+[a-z]?\d|\d[A-Z]{1,2}\Z")
 
