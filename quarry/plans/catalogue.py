@@ -126,6 +126,12 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, F.get(F.split("text", "\n"), F.lit(0)))
 
 
+@query(BM25_SQL.format(text="text"))
+def bm25_topk_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole texts of a hundredth of the documents as queries against all of them."""
+    return _bm25(spark, d, F.col("text"))
+
+
 @query(BM25_SQL.format(text="'zzqx' || doc_key"))
 def bm25_no_match_padding(spark: SparkSession, d: str) -> DataFrame:
     """Queries whose terms no document has still get their number of rows."""
