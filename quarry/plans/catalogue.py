@@ -17,7 +17,7 @@ from quarry.functions import tables as G
 from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import bm25, chunking, dense, embed, evaluate, fusion, gates, rerank, search, store
-from quarry.runtime import table
+from quarry.runtime import saved, table
 from quarry.sources import listing as L
 from quarry.streaming import ingest as stream
 
@@ -204,6 +204,35 @@ def postfilter_format(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d, formats=["pdf", "hwp"])
 
 
+def _searched(spark: SparkSession, d: str, stage: str | None = None, formats: list[str] | None = None) -> DataFrame:
+    """Hits of the whole texts of a hundredth of the documents among all chunks, from dense and BM25+ candidates."""
+    config = Config()
+    docs = table(spark, d, "documents")
+    about = docs.select(F.col("doc_key").alias("doc_id"), "file_name", "rel_path", "stage", "format")
+    chunks = table(spark, d, "chunks").select("chunk_id", "doc_id", "text", "page_no", "headings").dropDuplicates(["chunk_id"]).join(about, "doc_id")
+    passages = chunks.select("chunk_id", X.prefixed(config.passage_prefix, F.col("text")).alias("text"))
+    cache = spark.createDataFrame([], "model_id string, hash string, dim int, vec array<float>")
+    vectors, _ = embed.embed_cached(passages, cache, config.model_id, dimensions=config.dimensions)
+    asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    hits = search.search(chunks, saved(vectors.select("chunk_id", "embedding")), asked, config, stage=stage, formats=formats)
+    return hits.select("query_id", "rank", "chunk_id", "score", "source.file_name", "source.rel_path", "source.stage", "source.format", "source.page_no", F.size(F.coalesce("source.headings", F.array().cast("array<string>"))).alias("n_headings"))
+
+
+@query()
+def search_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _searched(spark, d)
+
+
+@query()
+def search_texts_stage(spark: SparkSession, d: str) -> DataFrame:
+    return _searched(spark, d, stage="1단계")
+
+
+@query()
+def search_texts_format(spark: SparkSession, d: str) -> DataFrame:
+    return _searched(spark, d, formats=["pdf", "hwp"])
+
+
 @query("""
     select chunk_id, ord, replace(substring(text, 1, 400), chr(10), ' ') as snippet,
       array_to_string(coalesce(headings, []), ' > ') || case when coalesce(page_no, 0) > 0 then ' p.' || page_no else '' end as breadcrumb from chunks""")
@@ -226,11 +255,9 @@ def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     asked = lists.filter("ranker = 'sparse'").groupBy("query_id", "chunk_id").agg(F.min("rank").cast("int").alias("fused_rank"))
     used = best.select("chunk_id").unionByName(asked.select("chunk_id")).distinct()
     texts = table(spark, d, "chunks").select("chunk_id", "text").join(used, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
-    words = texts.select("chunk_id", F.array_distinct(X.terms(F.col("text"))).alias("terms"))
-    about = best.join(words, "chunk_id").select("query_id", F.col("terms").alias("query_terms"))
-    scored = asked.join(about, "query_id").join(words, "chunk_id").withColumn("rerank_score", F.size(F.array_intersect("query_terms", "terms")).cast("double"))
-    order = W.Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "fused_rank", "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("int")).filter("rank <= 5").select("query_id", "chunk_id", "fused_rank", "rerank_score", "rank")
+    about = best.join(texts, "chunk_id").select("query_id", F.col("text").alias("query_text"))
+    candidates = asked.join(about, "query_id").join(texts, "chunk_id").withColumn("place", F.struct("fused_rank", "chunk_id"))
+    return rerank.rerank(candidates, rerank.scorer("overlap"), 5, order="place").select("query_id", "chunk_id", "fused_rank", "rerank_score", "rank")
 
 
 @query("""
@@ -583,9 +610,6 @@ def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return embed.embedded(rows, "text").select("chunk_id", "embedding")
 
 
-assert rerank.SCORERS  # the operator's registry; its own query above scores in the JVM
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

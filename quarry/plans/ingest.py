@@ -8,7 +8,6 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from quarry.config import Config
 from quarry.functions import paths
@@ -54,10 +53,13 @@ def run(listing: DataFrame, stored: DataFrame, config: Config | None = None, for
     seen = saved(gates.gated(listing, stored, config.max_file_mb, force).withColumn("ext", paths.extension(F.element_at(F.split("rel_path", "/"), -1))))
     skipped = seen.filter("gate is not null and gate <> 'cached'").select("*", F.lit("skipped").alias("status"), F.col("gate").alias("error"), F.lit(None).cast("string").alias("content_sha"))
     todo = with_content(seen.filter("gate is null"), paths.HASHED_BYTES).withColumn("content_sha", paths.content_sha(F.col("content"))).drop("content")
-    order = W.Window.partitionBy("content_sha").orderBy("root_ord", "path")
-    todo = saved(todo.withColumn("turn", F.when(F.col("content_sha").isNull(), 1).otherwise(F.row_number().over(order))))
+    todo = saved(todo)
     owned = stored.filter("status = 'ok' and content_sha is not null").groupBy("content_sha").agg(F.min("doc_key").alias("owner"))
-    todo = todo.join(owned, "content_sha", "left")
+    # no window over the copies of a content: of many copies, each task sends on its first; files without a hash are apart
+    firsts = todo.filter("content_sha is not null").groupBy("content_sha").agg(F.min(F.struct("root_ord", "path")).alias("first"))
+    turns = todo.join(firsts, "content_sha").withColumn("turn", F.when(F.struct("root_ord", "path") == F.col("first"), 1).otherwise(2)).drop("first")
+    unread = todo.filter("content_sha is null").select("*", F.lit(1).alias("turn"), F.lit(None).cast("string").alias("owner"))
+    todo = saved(turns.join(owned, "content_sha", "left").unionByName(unread))
     free = todo.filter(F.col("owner").isNull() | (F.col("owner") == F.col("doc_key")))
 
     def read(files: DataFrame) -> DataFrame:
