@@ -189,9 +189,12 @@ def starts(text: str | None) -> list[int]:
         rules = _rules()[lang]
         for m in ENDS[lang].finditer(shadow, begin, end):
             p = m.end()
-            before, after = shadow[max(begin, p - WINDOW) : p], shadow[p : min(end, p + WINDOW)].replace("\n", " ")
-            if not after.strip():
+            seen = p  # the window after the mark starts at the last blank before the next visible character
+            while seen < end and shadow[seen].isspace():
+                seen += 1
+            if seen == end:
                 continue
+            before, after = shadow[max(begin, p - WINDOW) : p], shadow[max(p, seen - 1) : min(end, seen + WINDOW)].replace("\n", " ")
             for kind, left, right in rules:
                 if right.match(after) and left.search(before):
                     if kind:

@@ -30,6 +30,13 @@ def test_offsets_with_invisible_characters():
     assert [text[p] for p in S.starts(text)] == ["O", "T"]
 
 
+@pytest.mark.parametrize("gap", [1, 2, 31, 32, 33, 500])
+@pytest.mark.parametrize("blank", [" ", "\t"])
+def test_wide_gaps(gap, blank):
+    assert S.starts("The first one ends here." + " " + blank * (gap - 1) + "The second one follows.") == [0, 24 + gap]
+    assert S.starts("The first one ends here.\n" + blank * gap + "The second one follows.") == [0, 25 + gap]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "No end"), (5, "A. " * 1), (6, "x. Y" * 3000), (6, "One. Two.")]
     got = S.sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
