@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import tempfile
 import uuid
@@ -16,16 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below the shared one that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set, as in tests on one
-    machine, a temporary one takes its place.
+    Only where none is set, as in tests on one machine, a temporary folder takes its place. What lies in it is removed
+    when the driver's Python ends, or by :func:`cleared`.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    context = spark.sparkContext
+    if getattr(context, "_quarry_folder", None) is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context._quarry_folder = f"{named.rstrip('/')}/quarry-{context.applicationId}"
+        atexit.register(_at_exit, spark)
+    return context._quarry_folder
+
+
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        cleared(spark)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all saved tables of this application. DataFrames that read them can't be used any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/saved")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written as a table into the shared folder; what reads it reads the columns it needs."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/saved/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> SparkSession:
