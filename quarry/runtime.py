@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import tempfile
 import uuid
@@ -46,10 +47,16 @@ def cleared(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written as a table into the shared folder; what reads it reads the columns it needs."""
+    """``df`` computed once and written as a table into the shared folder; what reads it reads the columns it needs.
+
+    The shuffles that made it are not needed any more; the garbage collections let Spark remove their files now and not
+    when the driver happens to run short of memory, which on a long job is a multiple of the disk.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/saved/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
