@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import io
 import tempfile
 import uuid
@@ -13,6 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether shuffle files are removed at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table of that name under a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,14 +52,17 @@ def cleared(spark: SparkSession) -> None:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once and written as a table into the shared folder; what reads it reads the columns it needs.
 
-    The shuffles that made it are not needed any more; the garbage collections let Spark remove their files now and not
-    when the driver happens to run short of memory, which on a long job is a multiple of the disk.
+    The shuffles that made it are not needed any more, so Spark is told to remove their files when the table is written;
+    else they stay until the driver happens to collect its garbage, which on a long job is a multiple of the disk.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/saved/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
