@@ -1,15 +1,19 @@
 """Tokens by source, language and domain (problem 3), kept up to date by signed deltas.
 
-Three tables carry the state from run to run: ``counts`` has the number of tokens of every content under every tokenizer,
-by the hash of both; ``snapshot`` the documents as last seen; ``cube`` the totals. A run encodes only contents that no
-earlier run has counted, compares the documents with the snapshot, and adds what changed to the cube: a document that is
-new counts once, one that is gone counts minus once, and one that changed does both.
+Three tables carry the state from run to run: ``counts`` has the number of tokens of every part's content under every
+tokenizer, by the hash of both; ``snapshot`` the documents as last seen; ``cube`` the totals. A part is a chunk's text without
+what it repeats of the chunk before. A run encodes only contents that no earlier run has counted, each once however many
+documents hold it, compares the documents with the snapshot, and adds what changed to the cube: a document that is new
+counts once, one that is gone counts minus once, and one that changed does both. A tokenizer goes by the digest of its file,
+so that another file under the same name counts anew.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -17,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.paths import FORMATS
 from quarry.llm import arrow_text as A
 from quarry.llm.overlap import LONGEST, own_text
 from quarry.llm.tokens import TOKENIZERS, word_counts
+from quarry.runtime import saved
 
-# Formats by file ending, and scripts of languages.
-FORMATS = {"pdf": "pdf", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "xls": "xlsx", "hwp": "hwp", "txt": "txt", "csv": "txt", "html": "txt", "htm": "txt", "md": "txt"}
+# Scripts of languages.
 SCRIPT_OF = {"ko": "hangul", "ja": "kana", "zh": "han", "th": "thai", "en": "latin", "de": "latin"}
 SCRIPTS = ("hangul", "kana", "han", "thai", "latin", "umlaut")
 UNKNOWN = "unknown"
@@ -38,8 +43,8 @@ MEASURES = ("n_docs", "n_tokens", "n_chars")
 
 
 class State(NamedTuple):
-    """counts: h1, h2, n_parts, tokenizer, n_tokens, n_chars, and letters by script; snapshot: doc_key, h1, h2, n_parts, the
-    dimensions, n_tokens, n_chars; cube: the dimensions and measures."""
+    """counts: p1, p2, tokenizer, n_tokens, n_chars, and letters by script; snapshot: tokenizer, doc_key, h1, h2, n_parts, the
+    dimensions, n_tokens, n_chars; cube: tokenizer, the dimensions and measures."""
 
     counts: DataFrame
     snapshot: DataFrame
@@ -56,29 +61,25 @@ def _script_table() -> np.ndarray:
     return t
 
 
-def own_parts(chunks: DataFrame) -> DataFrame:
-    """(doc_id, ord, own): each chunk's text without what it repeats of the chunk before; repeated rows count once.
-
-    Text moves once, by the unique key (doc_id, ord), on which neighbours then meet without another shuffle.
-    """
-    rows = chunks.select("doc_id", "ord", "text").dropDuplicates(["doc_id", "ord"])
-    ends = chunks.select("doc_id", (F.col("ord") + 1).alias("ord"), F.expr(f"right(text, {LONGEST})").alias("before")).dropDuplicates(["doc_id", "ord"])
-    return rows.join(ends, ["doc_id", "ord"], "left").select("doc_id", "ord", own_text(F.col("before"), F.col("text")).alias("own"))
+def tokenizer_id(tokenizer: str, folder: str = TOKENIZERS) -> str:
+    """The tokenizer's name and the beginning of the SHA-256 of its file."""
+    return f"{tokenizer}:{hashlib.sha256(Path(folder, f'{tokenizer}.tiktoken').read_bytes()).hexdigest()[:16]}"
 
 
-def _named(parts: DataFrame) -> DataFrame:
-    """Parts with two hashes of place and text; xor of a document's parts names its content and needs no order."""
-    text = F.coalesce("own", F.lit(""))
-    return parts.select("doc_id", "own", F.xxhash64("ord", text).alias("p1"), F.xxhash64(F.lit("second"), text, "ord").alias("p2"))
+def own_parts(chunks: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(doc_id, ord, own, p1, p2): each chunk's text without what it repeats of the chunk before, and a 128-bit name of it.
 
-
-def contents(parts: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, n_parts) of each document."""
-    return _named(parts).groupBy("doc_id").agg(F.bit_xor("p1").alias("h1"), F.bit_xor("p2").alias("h2"), F.count("*").alias("n_parts"))
+    Repeated rows count once, a null text is an empty one. Text moves once, by the unique key (doc_id, ord), on which
+    neighbours meet without another shuffle.
+    """
+    rows = chunks.select("doc_id", "ord", "text").dropDuplicates(["doc_id", "ord"])
+    ends = chunks.select("doc_id", (F.col("ord") + 1).alias("ord"), F.expr(f"right(text, {longest})").alias("before")).dropDuplicates(["doc_id", "ord"])
+    own = rows.join(ends, ["doc_id", "ord"], "left").select("doc_id", "ord", F.coalesce(own_text(F.col("before"), F.col("text"), longest), F.lit("")).alias("own"))
+    return own.select("*", F.xxhash64("own").alias("p1"), F.xxhash64(F.lit("second"), "own").alias("p2"))
 
 
-def counted(parts: DataFrame, tokenizer: str, folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, h1, h2, n_parts, tokenizer, n_tokens, n_chars, hangul .. umlaut): every given document encoded."""
+def encoded_parts(parts: DataFrame, tokenizer: str, folder: str = TOKENIZERS) -> DataFrame:
+    """(p1, p2, tokenizer, n_tokens, n_chars, hangul .. umlaut): every given part encoded."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = word_counts((tokenizer,), folder), _script_table()
@@ -86,14 +87,23 @@ def counted(parts: DataFrame, tokenizer: str, folder: str = TOKENIZERS) -> DataF
             points, offsets = A.code_points(batch.column("own"))
             letters = np.bincount(A.rows_of(offsets) * 7 + table[points], minlength=len(batch) * 7).reshape(-1, 7)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("p1"), batch.column("p2"), pa.array(own.counts(batch.column("own").to_pylist())[0]), pa.array(np.diff(offsets)), *(pa.array(letters[:, k].astype(np.int64)) for k in range(1, 7))],
-                names=["doc_id", "p1", "p2", "n_tokens", "n_chars", *SCRIPTS],
+                [batch.column("p1"), batch.column("p2"), pa.array(own.counts(batch.column("own").to_pylist())[0]), pa.array(np.diff(offsets)), *(pa.array(letters[:, k].astype(np.int64)) for k in range(1, 7))],
+                names=["p1", "p2", "n_tokens", "n_chars", *SCRIPTS],
             )
 
-    schema = "doc_id string, p1 long, p2 long, n_tokens long, n_chars long, " + ", ".join(f"{s} long" for s in SCRIPTS)
+    schema = "p1 long, p2 long, n_tokens long, n_chars long, " + ", ".join(f"{s} long" for s in SCRIPTS)
+    found = parts.select("p1", "p2", "own").mapInArrow(work, schema)
+    return found.select("p1", "p2", F.lit(tokenizer_id(tokenizer, folder)).alias("tokenizer"), "n_tokens", "n_chars", *SCRIPTS)
+
+
+def summed(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, n_parts, n_tokens, n_chars, hangul .. umlaut) of each document, of its parts' counts.
+
+    The xor of hashes of a document's parts and their places names its content, and needs no order.
+    """
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_chars", *SCRIPTS)]
-    found = _named(parts).mapInArrow(work, schema)
-    return found.groupBy("doc_id").agg(F.bit_xor("p1").alias("h1"), F.bit_xor("p2").alias("h2"), F.count("*").alias("n_parts"), *sums).withColumn("tokenizer", F.lit(tokenizer))
+    both = parts.select("doc_id", "ord", "p1", "p2").join(counts, ["p1", "p2"])
+    return both.groupBy("doc_id").agg(F.bit_xor(F.xxhash64("ord", "p1", "p2")).alias("h1"), F.bit_xor(F.xxhash64("p2", "p1", "ord")).alias("h2"), F.count("*").alias("n_parts"), *sums)
 
 
 def clean_language(lang: Column) -> Column:
@@ -157,42 +167,59 @@ def deltas(before: DataFrame | None, after: DataFrame) -> DataFrame:
     return kept.filter("sign <> 0")
 
 
-def _totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*DIMENSIONS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))
+def update(chunks: DataFrame, documents: DataFrame, state: State | None = None, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, longest: int = LONGEST) -> State:
+    """The state after the given chunks and documents, from that before them. See :func:`update_parts`."""
+    return update_parts(saved(own_parts(chunks, longest)), documents, state, tokenizer, folder)
 
 
-def update(chunks: DataFrame, documents: DataFrame, state: State | None = None, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> State:
-    """The state after the given chunks and documents, from that before them.
+def update_parts(parts: DataFrame, documents: DataFrame, state: State | None = None, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> State:
+    """The state after the given parts (doc_id, ord, own, p1, p2) and documents, from that before them.
 
-    Only contents that ``state.counts`` lacks under this tokenizer are encoded. Empty tables give empty totals. Null and
-    empty texts have no tokens. Failed documents with chunks of an earlier run are counted like any other. The caller
-    writes the three tables where it keeps them.
+    Only contents that ``state.counts`` lacks under this tokenizer are encoded, each once; what other tokenizers counted
+    stays. Empty tables give empty totals. Null and empty texts have no tokens. Failed documents with chunks of an
+    earlier run are counted like any other. The three tables are saved, so that a caller who writes them where it keeps
+    them encodes nothing again.
     """
-    parts = own_parts(chunks)
-    if state is None:
-        fresh = counted(parts, tokenizer, folder)
-        counts, by_document = fresh.drop("doc_id"), fresh.drop("tokenizer")
-    else:
-        named = contents(parts)
-        old = state.counts.filter(F.col("tokenizer") == tokenizer)
-        key = ["h1", "h2", "n_parts"]
-        unseen = named.join(old, key, "left_anti").groupBy(*key).agg(F.min("doc_id").alias("doc_id"))  # equal contents once
-        fresh = counted(parts.join(unseen.select("doc_id"), "doc_id", "left_semi"), tokenizer, folder)
-        counts = state.counts.unionByName(fresh.drop("doc_id"))
-        by_document = named.join(counts.filter(F.col("tokenizer") == tokenizer).drop("tokenizer").dropDuplicates(key), key)
-    snapshot = _documents(by_document, documents)
-    changes = deltas(None if state is None else state.snapshot, snapshot)
-    signed = changes.select(*DIMENSIONS, F.col("sign").alias("n_docs"), (F.col("sign") * F.col("n_tokens")).alias("n_tokens"), (F.col("sign") * F.col("n_chars")).alias("n_chars"))
-    cube = _totals(signed if state is None else signed.unionByName(state.cube.select(*DIMENSIONS, *MEASURES))).filter("n_docs <> 0")
-    return State(counts.dropDuplicates(["h1", "h2", "n_parts", "tokenizer"]), snapshot, cube)
+    name = tokenizer_id(tokenizer, folder)
+    unseen = parts.select("p1", "p2", "doc_id", "ord")
+    if state is not None:
+        unseen = unseen.join(state.counts.filter(F.col("tokenizer") == name).select("p1", "p2"), ["p1", "p2"], "left_anti")
+    one = unseen.groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "ord")).alias("at")).select(F.col("at.doc_id").alias("d"), F.col("at.ord").alias("o"))
+    chosen = parts.join(one, parts.doc_id.eqNullSafe(one.d) & parts.ord.eqNullSafe(one.o), "left_semi")
+    counts = saved(encoded_parts(chosen, tokenizer, folder))
+    if state is not None:
+        counts = state.counts.unionByName(counts)
+    mine = counts.filter(F.col("tokenizer") == name).drop("tokenizer")
+    snapshot = saved(_documents(summed(parts, mine), documents).select(F.lit(name).alias("tokenizer"), "*"))
+    before = None if state is None else state.snapshot.filter(F.col("tokenizer") == name)
+    changes = deltas(before, snapshot)
+    cube = changes.select(F.lit(name).alias("tokenizer"), *DIMENSIONS, F.col("sign").cast("long").alias("n_docs"), (F.col("sign") * F.col("n_tokens")).alias("n_tokens"), (F.col("sign") * F.col("n_chars")).alias("n_chars"))
+    if state is not None:
+        cube = cube.unionByName(state.cube.select("tokenizer", *DIMENSIONS, *MEASURES))
+        snapshot = snapshot.unionByName(state.snapshot.filter(F.col("tokenizer") != name))
+    cube = saved(cube.groupBy("tokenizer", *DIMENSIONS).agg(*(F.sum(m).alias(m) for m in MEASURES)).filter("n_docs <> 0"))
+    return State(counts, snapshot, cube)
+
+
+def earlier(parts: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parts, documents) of a store as it may have been before: half of the documents were there, in a sixteenth of these
+    the first chunk read otherwise or another source was given, and another sixteenth of copies of them are gone since."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(32))
+    old = parts.filter(place("doc_id") < 16)
+    other = F.when((place("doc_id") == 0) & (F.col("ord") == 0), F.reverse("own")).otherwise(F.col("own"))
+    old = old.select("doc_id", "ord", other.alias("own"))
+    gone = old.filter(place("doc_id") == 1).withColumn("doc_id", F.concat(F.lit("gone-"), "doc_id"))
+    both = old.unionByName(gone).select("*", F.xxhash64("own").alias("p1"), F.xxhash64(F.lit("second"), "own").alias("p2"))
+    docs = documents.filter(place("doc_key") < 16).withColumn("source", F.when(place("doc_key") == 2, F.lit("moved")).otherwise(F.col("source")))
+    return both, docs.unionByName(docs.filter(place("doc_key") == 1).withColumn("doc_key", F.concat(F.lit("gone-"), "doc_key")))
 
 
 def slices(cube: DataFrame) -> DataFrame:
-    """Totals by source, language and domain, by each of them, by format, and over all; ``slice`` names which.
+    """Totals by source, language and domain, by each of them, by format, and over all, for each tokenizer; ``slice`` names which.
 
     Dimensions that a slice adds up are null.
     """
     sets = [("source", "lang", "stage"), ("source",), ("lang",), ("stage",), ("format",), ()]
     name = F.concat_ws(",", *(F.when(F.grouping(d) == 0, F.lit(d)) for d in DIMENSIONS))
-    rows = cube.groupingSets(sets, *DIMENSIONS).agg(name.alias("slice"), *(F.sum(m).alias(m) for m in MEASURES))
-    return rows.select(F.when(F.col("slice") == "", "all").otherwise(F.col("slice")).alias("slice"), *DIMENSIONS, *MEASURES)
+    rows = cube.groupingSets([("tokenizer", *s) for s in sets], "tokenizer", *DIMENSIONS).agg(name.alias("slice"), *(F.sum(m).alias(m) for m in MEASURES))
+    return rows.select("tokenizer", F.when(F.col("slice") == "", "all").otherwise(F.col("slice")).alias("slice"), *DIMENSIONS, *MEASURES)

@@ -8,14 +8,14 @@ circled digits and line breaks are left as they are.
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,7 +155,7 @@ def same_form_array(column: pa.Array) -> pa.Array:
 def _headings(batch: pa.RecordBatch, name: str) -> tuple[pa.Array, np.ndarray]:
     """The elements of a list column, and the list offsets; a null list is an empty one."""
     lists = batch.column(name)
-    sizes = np.array([0 if s is None else s for s in pa.compute.list_value_length(lists).to_pylist()], np.int64)
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
     return lists.flatten(), np.concatenate(([0], np.cumsum(sizes)))
 
 
@@ -184,44 +184,56 @@ def with_same_form(df: DataFrame, text: str = "text", headings: str | None = "he
     return df.mapInArrow(work, schema)
 
 
-def _digest(*parts: bytes) -> bytes:
-    h = hashlib.blake2b(digest_size=16)
-    for p in parts:
-        h.update(len(p).to_bytes(8, "little"))
-        h.update(p)
-    return h.digest()
+def _named(text: str, headings: str, seed: int) -> Column:
+    """A 64-bit hash of a text and its headings; nulls are empty. Each element hashes into that of the ones before it."""
+    return F.xxhash64(F.lit(seed), F.coalesce(text, F.lit("")), F.size(headings), headings)
 
 
 def form_keys(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, form, stored): digests of what a chunk looks like and of what it holds, by text and headings.
+    """(chunk_id, f1, f2, s1, s2): 128-bit names of what a chunk looks like (f) and of what it holds (s), by text and headings.
 
-    A null text looks like an empty one, null headings like none and a null heading like an empty one. The 128-bit
-    digests stand for the texts in the shuffles that follow, so that no text moves. A null chunk_id is dropped.
+    A null text looks like an empty one, null headings like none and a null heading like an empty one. The names stand
+    for the texts in the shuffles that follow, so that no text moves; the JVM hashes what the form's arrays hold. A null
+    chunk_id is dropped.
     """
+    rows = chunks.select("chunk_id", "text", "headings").filter("chunk_id is not null")
+    filled = F.transform(F.coalesce("headings", F.array().cast("array<string>")), lambda h: F.coalesce(h, F.lit("")))
+    rows = rows.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"), filled.alias("headings"))
+    rows = rows.select("chunk_id", "text", "headings", *(_named("text", "headings", k).alias(f"s{k}") for k in (1, 2)))
+    return with_same_form(rows).select("chunk_id", *(_named("text", "headings", k).alias(f"f{k}") for k in (1, 2)), "s1", "s2")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in A.runs(batches, "text"):
-            flat, at = _headings(batch, "headings")
-            stored = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            shown = [(t or "").encode() for t in same_form_array(batch.column("text")).to_pylist()]
-            raw = [(t or "").encode() for t in flat.to_pylist()]
-            seen = [(t or "").encode() for t in same_form_array(flat).to_pylist()]
-            keys = [_digest(t, *seen[a:b]) for t, a, b in zip(shown, at[:-1], at[1:])]
-            holds = [_digest(t, *raw[a:b]) for t, a, b in zip(stored, at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(keys, pa.binary()), pa.array(holds, pa.binary())], names=["chunk_id", "form", "stored"])
 
-    return chunks.select("chunk_id", "text", "headings").filter("chunk_id is not null").mapInArrow(work, "chunk_id string, form binary, stored binary")
+#: Chunks of a form that one row of its salted self-join meets.
+SALT = 1000
+
+
+def _mixed(chunks: DataFrame) -> DataFrame:
+    """Distinct (chunk_id, f1, f2, s1, s2, n) of the chunks whose form is stored in several ways; n chunks have the form."""
+    keys = saved(form_keys(chunks))
+    ways = keys.groupBy("f1", "f2").agg(F.min(F.struct("s1", "s2")).alias("a"), F.max(F.struct("s1", "s2")).alias("b"), F.count("*").alias("n"))
+    return keys.distinct().join(ways.filter("a <> b").select("f1", "f2", "n"), ["f1", "f2"])
 
 
 def look_alikes(chunks: DataFrame) -> DataFrame:
     """Pairs (chunk_id_1, chunk_id_2) of chunks that look the same while their characters differ, the smaller id first.
 
     Chunks repeated in full count once. Forms stored in a single way are dropped before the join by a partial
-    aggregation, so a form that a third of all chunks share as exact copies makes no pairs.
+    aggregation, so a form that a third of all chunks share as exact copies makes no pairs; a large form that is stored in
+    several ways is salted: a row of one side for each block of the other.
     """
-    keys = saved(form_keys(chunks))
-    mixed = keys.groupBy("form").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).filter("a <> b").select("form")
-    rows = keys.join(mixed, "form", "left_semi").distinct()
-    left = rows.select("form", F.col("stored").alias("s1"), F.col("chunk_id").alias("chunk_id_1"))
-    right = rows.select("form", F.col("stored").alias("s2"), F.col("chunk_id").alias("chunk_id_2"))
-    return left.join(right, "form").filter("s1 <> s2 and chunk_id_1 < chunk_id_2").select("chunk_id_1", "chunk_id_2").distinct()
+    rows = _mixed(chunks).withColumn("blocks", F.ceil(F.col("n") / SALT))
+    left = rows.select("f1", "f2", F.struct("s1", "s2").alias("x"), F.col("chunk_id").alias("chunk_id_1"), F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).alias("salt"))
+    right = rows.select("f1", "f2", F.struct("s1", "s2").alias("y"), F.col("chunk_id").alias("chunk_id_2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"))
+    return left.join(right, ["f1", "f2", "salt"]).filter("x <> y and chunk_id_1 < chunk_id_2").select("chunk_id_1", "chunk_id_2").distinct()
+
+
+def look_alike_classes(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, class_id, n_links) of every chunk: the smallest id that looks like it, and how many chunks look like it in other characters.
+
+    Chunks repeated in full are one row. No pairs are made: links are what a class holds less what is stored alike.
+    """
+    keys = saved(form_keys(chunks).distinct())
+    alike = keys.groupBy("f1", "f2", "s1", "s2").agg(F.count("*").alias("n"), F.min("chunk_id").alias("least"))
+    classes = alike.groupBy("f1", "f2").agg(F.sum("n").alias("n_class"), F.min("least").alias("class_id"))
+    links = alike.join(classes, ["f1", "f2"]).select("f1", "f2", "s1", "s2", "class_id", (F.col("n_class") - F.col("n")).alias("n_links"))
+    return keys.join(links, ["f1", "f2", "s1", "s2"]).select("chunk_id", "class_id", "n_links")

@@ -5,14 +5,16 @@
   an open line after which the next word of the text would have fitted isn't part of it.
 * Broken words. A line that ends in a hyphen goes on in the next line of the body, unless the corpus writes the word
   with its hyphen more often than without.
-* Misread characters. Words are grouped by a skeleton in which confusable glyphs are one; of each group the frequent form
-  is right, and a rare form that glyph confusions turn it into is wrong.
+* Misread characters. Words are grouped by a skeleton in which confusable glyphs are one. A rare form is wrong if glyph
+  confusions turn a frequent form of its group into it; of several such forms the one is right that stands beside the same
+  neighbouring words most often. Confusions that are less usual count only if some neighbour supports them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,18 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from quarry.llm.overlap import overlap_length, with_neighbours
+from quarry.llm.overlap import LONGEST, overlap_length, with_neighbours
 from quarry.runtime import saved
 
-#: Lines of a page are no longer; text that was not scanned has its paragraphs in one line.
-PAGE_WIDTH = 90
+#: Lines of a page are rarely longer; text that was not scanned has its paragraphs in one line. Up to this part of a scanned
+#: document's lines may be all the same, as a table's row or two lines read as one.
+PAGE_WIDTH, WIDE_LINES = 90, 0.2
 #: A form is the misreading of another if that is at least so many times as frequent, and this frequent.
 DOMINANCE, SUPPORT = 5, 4
 #: The same for parts of words, which are of so many syllables or letters at least.
 PART_DOMINANCE, PART_SUPPORT = 10, 20
 PART_SYLLABLES, PART_LETTERS = 2, 6
-#: A glyph is usual in its place if it is there more often than this.
-USUAL = 3
+#: ... and so many at most: a glyph further from both ends of a word is judged by the whole word only.
+PART_LONGEST = 24
 #: A masked line that isn't a sentence's end is a running header if a document has it so often.
 REPEATS = 3
 #: ... and if it is no wider than this part of the page's lines, as lines of running text may repeat too.
@@ -41,9 +44,11 @@ HEADER_PART = 0.8
 MISREAD = {"e": "c", "t": "f", "i": "l", "l": "1", "o": "0", "s": "5", "g": "9", "d": "cl", "m": "rn", "u": "ii", "h": "li", "w": "vv", "rn": "m", "0": "o", "5": "s", "8": "b", "1": "l"}
 MISREAD_VOWEL = {"ㅏ": "ㅣ", "ㅓ": "ㅣㅕ", "ㅖ": "ㅔ", "ㅡ": "ㅠ", "ㅢ": "ㅚ", "ㅜ": "ㅡ", "ㅗ": "ㅛ"}
 MISREAD_LEAD = {"ㅍ": "ㅁ", "ㅈ": "ㅊ", "ㄱ": "ㄲ", "ㄷ": "ㄸ", "ㅂ": "ㅃ"}
+# Confusions in either direction that are less usual.
+SIMILAR = [("e", "c"), ("t", "f"), ("i", "l"), ("l", "1"), ("o", "0"), ("s", "5"), ("g", "9"), ("g", "q"), ("b", "h"), ("b", "8"), ("u", "v"), ("n", "h"), ("d", "cl"), ("m", "rn"), ("u", "ii"), ("h", "li"), ("w", "vv")]
 LEADS, VOWELS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ", "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 # The skeleton of each glyph. Glyphs read as two letters are spelt as two, so the order of confusions doesn't matter.
-SKELETON = {"e": "c", "f": "t", "l": "i", "1": "i", "0": "o", "5": "s", "9": "g", "d": "ci", "m": "rn", "w": "vv", "u": "ii", "h": "ii", "b": "8"}
+SKELETON = {"e": "c", "f": "t", "l": "i", "1": "i", "0": "o", "5": "s", "9": "g", "q": "g", "d": "ci", "m": "rii", "w": "iiii", "u": "ii", "v": "ii", "h": "ii", "b": "ii", "8": "ii", "n": "ii"}
 SKELETON_VOWEL = {"ㅓ": "ㅏ", "ㅣ": "ㅏ", "ㅕ": "ㅏ", "ㅔ": "ㅖ", "ㅜ": "ㅡ", "ㅠ": "ㅡ", "ㅚ": "ㅢ", "ㅛ": "ㅗ"}
 SKELETON_LEAD = {"ㅁ": "ㅍ", "ㅊ": "ㅈ", "ㄲ": "ㄱ", "ㄸ": "ㄷ", "ㅃ": "ㅂ"}
 
@@ -75,39 +80,40 @@ def skeleton(word: str) -> str:
     return "".join(out)
 
 
-def is_misreading(true: str, seen: str) -> bool:
+def _table(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    return out
+
+
+USUAL_TO = _table(list(MISREAD.items()))
+SIMILAR_TO = _table([*MISREAD.items(), *SIMILAR, *((b, a) for a, b in SIMILAR)])
+
+
+def is_misreading(true: str, seen: str, confusions: dict[str, list[str]] = USUAL_TO) -> bool:
     """Whether glyph confusions turn ``true`` into ``seen``; case does not count, and equal words are none."""
     a, b = true.lower(), seen.lower()
     if a == b:
         return False
-    reach = {0}
+    reach: dict[int, set[int]] = {0: {0}}  # by place in the true word: the places in the seen one that fit it
     for i in range(len(a)):
-        if not reach:
-            return False
-        new = set()
-        for j in reach:
+        for j in reach.pop(i, ()):
             if j < len(b) and a[i] == b[j]:
-                new.add(j + 1)
+                reach.setdefault(i + 1, set()).add(j + 1)
             for n in (1, 2):
-                for to in MISREAD.get(a[i : i + n], ()) and (MISREAD[a[i : i + n]],):
+                for to in confusions.get(a[i : i + n], ()) if i + n <= len(a) else ():
                     if b.startswith(to, j):
-                        new.add((j + len(to), n) if n == 2 else j + len(to))
+                        reach.setdefault(i + n, set()).add(j + len(to))
             if j < len(b) and "가" <= a[i] <= "힣" and "가" <= b[j] <= "힣":
                 x, y = ord(a[i]) - 0xAC00, ord(b[j]) - 0xAC00
                 lead = LEADS[y // 588] in MISREAD_LEAD.get(LEADS[x // 588], "") and x % 588 == y % 588
                 vowel = VOWELS[y % 588 // 28] in MISREAD_VOWEL.get(VOWELS[x % 588 // 28], "") and x // 588 == y // 588 and x % 28 == y % 28
                 if lead or vowel:
-                    new.add(j + 1)
-        jumped = {r[0] for r in new if isinstance(r, tuple)}
-        if jumped and any(is_tail(a[i + 2 :], b[j:]) for j in jumped):
-            return True
-        reach = {r for r in new if not isinstance(r, tuple)}
-    return len(b) in reach
-
-
-def is_tail(true: str, seen: str) -> bool:
-    """Whether the rest of a word is the same or a misreading."""
-    return true == seen or is_misreading(true, seen)
+                    reach.setdefault(i + 1, set()).add(j + 1)
+        if not reach:
+            return False
+    return len(b) in reach.get(len(a), ())
 
 
 def odd_number(line: str) -> bool:
@@ -124,12 +130,12 @@ def _is_page_number(line: str) -> bool:
     return bool(line) and (bool(PAGE.match(line)) and not re.search(r"\d[.,]\d", line) or bool(FRAMED.match(line)))
 
 
-def _lines(chunk_id: str, doc_id: str, order: int, text: str, before: str | None, after: str | None) -> list[tuple]:
+def _lines(chunk_id: str, doc_id: str, order: int, text: str, before: str | None, after: str | None, longest: int) -> list[tuple]:
     """Of one chunk: for each line what can be told without the rest of the document."""
-    cut = overlap_length(before, text)
+    cut = overlap_length(before, text, longest)
     lines = text.split("\n")
     shared = text[:cut].count("\n")
-    following = (after or "")[overlap_length(text, after) :].split("\n") if after else []
+    following = (after or "")[overlap_length(text, after, longest) :].split("\n") if after else []
     own = lines[shared:]
     rows = []
     plain = [not (_is_page_number(x.strip()) or NUMBERED.match(x.strip()) or NUMBERS.match(x)) and bool(x.strip()) for x in own]
@@ -159,30 +165,41 @@ def _lines(chunk_id: str, doc_id: str, order: int, text: str, before: str | None
 LINE_SCHEMA = "chunk_id string, doc_id string, ord int, line_no int, line string, own_no int, shared int, n_own int, loose boolean, mask string, numbers boolean, short boolean, next_head string"
 
 
-def scanned(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+class Scans(NamedTuple):
+    """The chunks of scanned files with the ends of their neighbours, and the most characters of an overlap."""
+
+    chunks: DataFrame
+    longest: int
+
+
+def scanned(chunks: DataFrame, documents: DataFrame, longest: int = LONGEST) -> Scans:
     """Distinct chunks of scanned pdf files, with the ends of their neighbours.
 
-    A pdf is a scan if none of its chunks has headings and all its lines are those of a page. Null texts are left out,
-    null formats are no pdf.
+    A pdf is a scan if none of its chunks has headings and hardly any of its lines is wider than a page's, so that a wide
+    line here and there changes nothing. Null texts are left out, null formats are no pdf.
     """
-    page = (F.coalesce(F.size("headings"), F.lit(0)) <= 0) & (F.array_max(F.transform(F.split("text", "\n"), F.length)) <= PAGE_WIDTH)
+    bare = F.coalesce(F.size("headings"), F.lit(0)) <= 0
+    rows = chunks.select("chunk_id", "doc_id", "ord", "text", bare.alias("bare"))
+    widths = F.transform(F.split("text", "\n"), F.length)
+    shape = rows.select("doc_id", "bare", F.coalesce(F.size(widths), F.lit(0)).alias("n"), F.coalesce(F.size(F.filter(widths, lambda w: w > PAGE_WIDTH)), F.lit(0)).alias("wide"))
+    by_document = shape.groupBy("doc_id").agg(F.bool_and("bare").alias("bare"), F.sum("n").alias("n"), F.sum("wide").alias("wide")).filter(F.col("bare") & (F.col("wide") <= F.col("n") * WIDE_LINES))
     pdf = documents.filter(F.lower(F.trim("format")) == "pdf").select(F.col("doc_key").alias("doc_id")).distinct()
-    other = chunks.filter(~page).select("doc_id").distinct()
-    rows = chunks.filter(page & F.col("text").isNotNull()).select("chunk_id", "doc_id", "ord", "text").dropDuplicates(["doc_id", "ord"])
-    rows = rows.join(pdf, "doc_id", "left_semi").join(other, "doc_id", "left_anti")
-    return with_neighbours(saved(rows), head=True)
+    scans = by_document.select("doc_id").join(pdf, "doc_id", "left_semi")
+    kept = rows.filter("bare and text is not null").join(scans, "doc_id", "left_semi").dropDuplicates(["doc_id", "ord"])
+    return Scans(with_neighbours(saved(kept.drop("bare")), True, longest), longest)
 
 
-def lines(scans: DataFrame) -> DataFrame:
+def lines(scans: Scans) -> DataFrame:
     """One row for each line: its place, whether it is shared with the chunk before, and whether it is ``furniture``."""
+    longest = scans.longest
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in LINE_SCHEMA.split(", ")]
         for f in frames:
-            yield pd.DataFrame([r for x in zip(f.chunk_id, f.doc_id, f.ord, f.text, f.before, f.after) for r in _lines(*x)], columns=names)
+            yield pd.DataFrame([r for x in zip(f.chunk_id, f.doc_id, f.ord, f.text, f.before, f.after) for r in _lines(*x, longest)], columns=names)
 
     # the masks of a document's lines, counted once in each line's own chunk
-    found = saved(scans.select("chunk_id", "doc_id", "ord", "text", "before", "after").mapInPandas(work, LINE_SCHEMA))
+    found = saved(scans.chunks.select("chunk_id", "doc_id", "ord", "text", "before", "after").mapInPandas(work, LINE_SCHEMA))
     often = found.filter("own_no >= 0 and mask is not null and length(mask) > 3").groupBy("doc_id", "mask").count().filter(F.col("count") >= REPEATS).select("doc_id", "mask", F.lit(True).alias("often"))
     return found.join(often, ["doc_id", "mask"], "left").withColumn("furniture", F.col("loose") | F.coalesce("often", F.lit(False))).drop("often", "mask", "loose")
 
@@ -200,11 +217,11 @@ def skeleton_of(word: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def affixes(word: pd.Series) -> pd.Series:
-    """A word as ``<word>``, its beginnings ``<wo`` and its ends ``rd>``: of two syllables or six letters at least."""
+    """A word as ``<word>``, its beginnings ``<wo`` and its ends ``rd>``: of two syllables or six letters at least, and PART_LONGEST at most."""
     out = []
     for w in word:
-        least = PART_SYLLABLES if re.search("[가-힣]", w) else PART_LETTERS
-        out.append([f"<{w}>", *(f"<{w[:k]}" for k in range(least, len(w))), *(f"{w[-k:]}>" for k in range(least, len(w)))])
+        part = range(PART_SYLLABLES if re.search("[가-힣]", w) else PART_LETTERS, min(len(w), PART_LONGEST + 1))
+        out.append([f"<{w}>", *(f"<{w[:k]}" for k in part), *(f"{w[-k:]}>" for k in part)])
     return pd.Series(out)
 
 
@@ -231,9 +248,33 @@ def other_sides(word: pd.Series, right: pd.Series, part: pd.Series) -> pd.DataFr
     return pd.DataFrame(out, columns=["bad_side", "good_side"])
 
 
-@F.pandas_udf(T.BooleanType())
+@F.pandas_udf(T.IntegerType())
 def misreads(true: pd.Series, seen: pd.Series) -> pd.Series:
-    return pd.Series([is_misreading(a, b) for a, b in zip(true, seen)], dtype=bool)
+    """1 if usual confusions turn the one into the other, 2 if it takes others or another direction, else 0."""
+    return pd.Series([1 if is_misreading(a, b) else 2 if is_misreading(a, b, SIMILAR_TO) else 0 for a, b in zip(true, seen)], dtype="int32")
+
+
+def by_context(candidates: DataFrame, body: DataFrame) -> DataFrame:
+    """(word, part, right): of each word's candidates (word, part, right, n_good, kind) the one that its neighbours support most.
+
+    A neighbour is the word before or after in the line. A candidate's support is how often the corpus has it beside the
+    neighbours that the word has, counted before the join. Without support the most frequent one is right; a candidate
+    by unusual confusions must have some.
+    """
+    words = F.transform("words", F.lower)
+    beside = body.select(F.explode(F.arrays_zip(F.slice(words, 1, F.greatest(F.size("words") - 1, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))).alias("p"))
+    pairs = beside.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("form"), F.lit(0).alias("side"), F.col("b").alias("other"), "n"), F.struct(F.col("b").alias("form"), F.lit(1).alias("side"), F.col("a").alias("other"), "n"))).alias("s")).select("s.*")
+    several = W.Window.partitionBy("word")
+    rows = saved(candidates.withColumn("several", (F.count("*").over(several) > 1) | (F.col("kind") > 1)))
+    open_ = rows.filter("several").select("word", "right").distinct()
+    forms = open_.select(F.explode(F.array("word", "right")).alias("form")).distinct()
+    sides = saved(sides.join(forms, "form", "left_semi"))
+    own = open_.join(sides.select(F.col("form").alias("word"), "side", "other"), "word")
+    support = own.join(sides.withColumnRenamed("form", "right"), ["right", "side", "other"]).groupBy("word", "right").agg(F.sum("n").alias("support"))
+    ranked = rows.join(support, ["word", "right"], "left").withColumn("support", F.coalesce("support", F.lit(0))).filter("kind = 1 or support > 0")
+    best = W.Window.partitionBy("word").orderBy(F.col("support").desc(), F.col("kind"), F.col("n_good").desc(), F.col("right"))
+    return ranked.withColumn("place", F.row_number().over(best)).filter("place = 1").select("word", "part", "right")
 
 
 @F.pandas_udf(T.StructType([T.StructField("first", T.StringType()), T.StructField("rest", T.StringType())]))
@@ -251,7 +292,7 @@ def odd_characters(line: pd.Series) -> pd.Series:
     return line.map(lambda t: odd_number(t or "") or any(map(odd_word, WORD.findall(t or "")))).astype(bool)
 
 
-def analysed(scans: DataFrame) -> tuple[DataFrame, DataFrame]:
+def analysed(scans: Scans) -> tuple[DataFrame, DataFrame]:
     """(own lines with their findings, all lines). Findings: furniture, hyphen, joined, wrong (misread words of the line) and right."""
     every = saved(lines(scans))
     own = every.filter("own_no >= 0")
@@ -267,22 +308,24 @@ def analysed(scans: DataFrame) -> tuple[DataFrame, DataFrame]:
     hyphens = parts.join(together, "joined", "left").join(apart, "compound", "left").filter(F.coalesce("n_joined", F.lit(0)) >= F.coalesce("n_compound", F.lit(0))).select("chunk_id", "line_no", "joined", F.lit(True).alias("hyphen"))
     # misread forms: a frequent form of the same skeleton turns into them
     split_words = hyphens.groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("n"))
-    forms = count.unionByName(split_words).groupBy("word").agg(F.sum("n").alias("n")).filter(F.length("word") > 1)
+    forms = saved(count.unionByName(split_words).groupBy("word").agg(F.sum("n").alias("n")).filter(F.length("word") > 1))
     # each form with its beginnings and ends, so that rare words are judged by parts that many words share
     parts_of = saved(forms.select("word", "n", F.explode(affixes("word")).alias("key")))
     keys = parts_of.groupBy("key").agg(F.sum("n").alias("n")).withColumn("skeleton", skeleton_of("key"))
     keys = saved(keys)
     whole = F.col("key").startswith("<") & F.col("key").endswith(">")
-    best = keys.groupBy("skeleton").agg(F.max(F.struct("n", "key")).alias("best")).select("skeleton", F.col("best.key").alias("good"), F.col("best.n").alias("n_good"))
-    enough = F.when(whole, (F.col("n_good") >= SUPPORT) & (F.col("n") * DOMINANCE <= F.col("n_good"))).otherwise((F.col("n_good") >= PART_SUPPORT) & (F.col("n") * PART_DOMINANCE <= F.col("n_good")))
-    bad = keys.join(best, "skeleton").filter((F.col("key") != F.col("good")) & enough & misreads("good", "key")).select("key", "good")
-    rank = F.struct(F.length("key"), F.col("key"), F.col("good"))
-    wrong = parts_of.join(bad, "key").groupBy("word").agg(F.max(rank).alias("r")).select("word", F.col("r.key").alias("part"), repaired("word", "r.key", "r.good").alias("right"))
+    often = keys.filter(F.col("n") >= F.when(whole, SUPPORT).otherwise(PART_SUPPORT)).select("skeleton", F.col("key").alias("good"), F.col("n").alias("n_good"))
+    enough = F.col("n") * F.when(whole, DOMINANCE).otherwise(PART_DOMINANCE) <= F.col("n_good")
+    bad = keys.join(often, "skeleton").filter((F.col("key") != F.col("good")) & enough).withColumn("kind", misreads("good", "key")).filter((F.col("kind") == 1) | whole & (F.col("kind") == 2))
+    # the longest part of a word that is wrong decides; all forms that it may stand for are candidates
+    judged = parts_of.select("word", "key").join(bad.select("key", "good", "n_good", "kind"), "key").withColumn("least", F.min("kind").over(W.Window.partitionBy("word", "key")))
+    judged = judged.withColumn("place", F.dense_rank().over(W.Window.partitionBy("word").orderBy("least", F.length("key").desc(), F.col("key").desc()))).filter("place = 1")
+    wrong = by_context(judged.select("word", F.col("key").alias("part"), repaired("word", "key", "good").alias("right"), "n_good", "kind"), body)
     # seen from its other side the glyph must not be usual: the beginning of a word up to it, if its end was judged
-    wrong = wrong.withColumn("sides", other_sides("word", "right", "part"))
+    wrong = wrong.withColumn("sides", other_sides("word", "right", "part")).join(forms.withColumnRenamed("n", "n_word"), "word")
     usual = keys.select(F.col("key").alias("bad_side"), F.col("n").alias("n_bad"))
     better = keys.select(F.col("key").alias("good_side"), F.col("n").alias("n_good"))
-    wrong = wrong.select("word", "right", "sides.*").join(usual, "bad_side", "left").join(better, "good_side", "left").filter((F.coalesce("n_bad", F.lit(0)) <= USUAL) | (F.col("n_bad") <= F.coalesce("n_good", F.lit(0)))).select("word", "right")
+    wrong = wrong.select("word", "right", "n_word", "sides.*").join(usual, "bad_side", "left").join(better, "good_side", "left").filter((F.coalesce("n_bad", F.lit(0)) <= F.col("n_word")) | (F.col("n_bad") <= F.coalesce("n_good", F.lit(0)))).select("word", "right")
     wrong = saved(wrong)
     tokens = body.select("chunk_id", "line_no", F.explode("words").alias("seen")).withColumn("word", F.lower("seen"))
     found = tokens.join(wrong, "word").groupBy("chunk_id", "line_no").agg(F.collect_list("seen").alias("wrong"), F.collect_list("right").alias("right"))
@@ -296,13 +339,13 @@ def _misread_in_parts(first: Column, whole: Column) -> Column:
     return F.lower(first) != F.substring(whole, 1, F.length(first))
 
 
-def found(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+def found(scans: Scans) -> DataFrame:
     """(chunk_id, line_no, kind) of the lines of scanned chunks that are furniture, hyphen or misread.
 
     ``line_no`` counts the text's lines from 0, overlap included; what was found in a line holds for its copy in the
     overlap of the next chunk too. Texts without lines, null texts and chunks of other files give no rows.
     """
-    own, every = analysed(scanned(chunks, documents))
+    own, every = analysed(scans)
     broken = F.col("whole").isNotNull()
     here = broken & _misread_in_parts(F.col("part.first"), F.col("whole"))
     next_line = own.filter(broken & ~here).select("chunk_id", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("from_above"))
@@ -330,13 +373,13 @@ def corrected(line: pd.Series, wrong: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def paragraphs(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+def paragraphs(scans: Scans) -> DataFrame:
     """(chunk_id, paragraph, text): the repaired text of scanned chunks, furniture gone and lines joined.
 
     Windows over each chunk's lines number the paragraphs: one ends with a line that ends a sentence though the next word
     would have fitted, and lines of numbers stand alone. The overlap with the chunk before is left out.
     """
-    own, _ = analysed(scanned(chunks, documents))
+    own, _ = analysed(scans)
     order = W.Window.partitionBy("chunk_id").orderBy("line_no")
     body = own.filter("not furniture").withColumn("text", corrected("line", "wrong", "right"))
     over = F.lag(F.col("short") | F.col("numbers")).over(order)

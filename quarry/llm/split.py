@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from quarry.llm import arrow_text as A
+from quarry.runtime import saved
 
 #: A natural boundary is taken if the piece is then at least this part of the limit; else the next weaker kind is tried.
 LEAST_FILL = 0.5
@@ -117,72 +117,89 @@ def cuts(points: np.ndarray, offsets: np.ndarray, limit: np.ndarray, overlap: np
     return row[at], begin[at], succ[at]
 
 
-def split(chunks: DataFrame, params: DataFrame) -> DataFrame:
-    """Chunks above their format's ``max_chars`` cut into pieces; all others stay as they are.
+def limits_of(params: DataFrame) -> dict[str, tuple[int | None, int]]:
+    """{format: (max_chars, overlap_chars)} of a table of a few rows, formats trimmed and in lower case."""
+    return {(r.format or "").strip().lower(): (r.max_chars, r.overlap_chars or 0) for r in params.select("format", "max_chars", "overlap_chars").collect()}
 
-    ``chunks`` has chunk_id, doc_id, ord, text, headings, page_no, source and format; ``params`` one row for each format
-    with max_chars and overlap_chars, and one named default. Formats are compared trimmed and in lower case; null and
-    unknown ones take the default. The result has one row for each piece: chunk_id, doc_id, a new dense ``ord`` within
-    the document, ``piece`` (from 0) and ``n_pieces`` of the chunk, text, headings, page_no, n_chars and source. Rows
-    repeated in full count once. A null text stays one piece with a null text, an empty one stays empty. Only oversized
-    texts go to Python, and texts move in no shuffle but that of the join that brings the format.
-    """
-    cut = _pieces(with_limits(chunks, params))
-    runs = W.Window.partitionBy("doc_id", "run")
-    counts = cut.filter("piece = 0").select("chunk_id", "doc_id", "ord", "n_pieces").withColumn("run", F.floor(F.col("ord") / ORD_RUN))
-    within = counts.withColumn("in_run", F.sum("n_pieces").over(runs.orderBy("ord", "chunk_id").rowsBetween(W.Window.unboundedPreceding, -1)))
-    before = counts.groupBy("doc_id", "run").agg(F.sum("n_pieces").alias("n")).withColumn("before", F.sum("n").over(W.Window.partitionBy("doc_id").orderBy("run").rowsBetween(W.Window.unboundedPreceding, -1)))
-    first = within.join(before, (within.doc_id.eqNullSafe(before.doc_id)) & within.run.eqNullSafe(before.run)).select("chunk_id", (F.coalesce("in_run", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("first"))
-    return cut.join(first, "chunk_id").select("chunk_id", "doc_id", (F.col("first") + F.col("piece")).cast("int").alias("ord"), "piece", "n_pieces", "text", "headings", "page_no", F.length("text").alias("n_chars"), "source")
 
+def with_limits(df: DataFrame, params: DataFrame) -> DataFrame:
+    """``df`` with the max_chars and overlap_chars of its ``format``, as expressions over the few formats; no join.
 
-def oversized(chunks: DataFrame, params: DataFrame) -> DataFrame:
-    """The pieces of the chunks that are above their limit, and of no others, without new positions: chunk_id, piece, n_pieces, text."""
-    return _pieces(with_limits(chunks, params).filter(F.length("text") > F.col("max_chars"))).select("chunk_id", "piece", "n_pieces", "text")
+    Formats are compared trimmed and in lower case; null ones and those without a row of their own take the row ``default``.
+    Where there is no such row they have no limit, and their texts stay whole.
+    """
+    limits = limits_of(params)
+    most, overlap = limits.get("default", (None, 0))
+    name = F.lower(F.trim("format"))
+    max_chars, overlap_chars = F.lit(most).cast("int"), F.lit(overlap)
+    for fmt, (m, o) in limits.items():
+        max_chars = F.when(name == fmt, F.coalesce(F.lit(m).cast("int"), F.lit(most).cast("int"))).otherwise(max_chars)
+        overlap_chars = F.when(name == fmt, F.lit(o)).otherwise(overlap_chars)
+    return df.withColumn("max_chars", max_chars).withColumn("overlap_chars", overlap_chars)
 
 
-def with_limits(chunks: DataFrame, params: DataFrame) -> DataFrame:
-    """Chunks with the max_chars and overlap_chars of their format. ``params`` has a row for each format, a few in all."""
-    rows = params.select(F.lower(F.trim("format")).alias("_name"), "max_chars", "overlap_chars").dropDuplicates(["_name"])
-    default = rows.filter("_name = 'default'").select(F.col("max_chars").alias("_max"), F.col("overlap_chars").alias("_overlap"))
-    own = chunks.select(*(c for c in COLUMNS if c in chunks.columns), F.lower(F.trim("format")).alias("_name"))
-    own = own.join(F.broadcast(rows), "_name", "left").crossJoin(F.broadcast(default.limit(1)))  # one row: a constant
-    return own.withColumn("max_chars", F.coalesce("max_chars", "_max")).withColumn("overlap_chars", F.coalesce("overlap_chars", "_overlap", F.lit(0))).drop("_name", "_max", "_overlap")
+def _identified(chunks: DataFrame) -> DataFrame:
+    """The columns that pieces keep; a chunk_id that is null is made of doc_id and ord, and rows that have none of these are left out."""
+    rows = chunks.select(*(c for c in COLUMNS if c in chunks.columns))
+    return rows.withColumn("chunk_id", F.coalesce("chunk_id", F.concat("doc_id", F.lit("#"), F.col("ord").cast("string")))).filter("chunk_id is not null")
 
 
-def _pieces(limited: DataFrame) -> DataFrame:
-    """One row for each piece, with piece and n_pieces after the columns that were there."""
-    others = [c for c in limited.columns if c not in ("text", "max_chars", "overlap_chars", "piece", "n_pieces")]
+def cut_places(chunks: DataFrame, documents: DataFrame, params: DataFrame) -> DataFrame:
+    """(chunk_id, starts, ends) of the chunks that are above the limit of their document's format, and of no others.
+
+    Only texts above the least limit of any format meet their documents, and only those above their own go to Python.
+    Rows repeated in full count once.
+    """
+    least = min((m for m, _ in limits_of(params).values() if m is not None and m >= 0), default=None)
+    rows = _identified(chunks).select("chunk_id", "doc_id", "text").filter(F.length("text") > least if least is not None else F.lit(False)).dropDuplicates(["chunk_id"])
+    formats = documents.select(F.col("doc_key").alias("doc_id"), "format").dropDuplicates(["doc_id"])
+    large = with_limits(rows.join(formats, "doc_id", "left"), params).filter(F.length("text") > F.col("max_chars")).select("chunk_id", "text", "max_chars", "overlap_chars")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.runs(batches, "text"):
             points, offsets = A.code_points(batch.column("text"))
-            size = np.diff(offsets)
-            limit = np.array([s if m is None or m < 1 else m for s, m in zip(size.tolist(), batch.column("max_chars").to_pylist())], np.int64).clip(1)
-            overlap = np.minimum(np.array([o or 0 for o in batch.column("overlap_chars").to_pylist()], np.int64).clip(0), limit // 2)
+            limit = np.asarray(batch.column("max_chars")).astype(np.int64).clip(1)
+            overlap = np.minimum(np.asarray(batch.column("overlap_chars")).astype(np.int64).clip(0), limit // 2)
             row, start, end = cuts(points, offsets, limit, overlap)
-            lost = np.flatnonzero(size == 0)  # null and empty texts are one piece
-            row, start, end = np.append(row, lost), np.append(start, offsets[lost]), np.append(end, offsets[lost])
             order = np.lexsort((end, row))
             row, start, end = row[order], start[order], end[order]
-            n_pieces = np.bincount(row, minlength=len(size))
-            piece = np.arange(len(row)) - np.concatenate(([0], np.cumsum(n_pieces)))[row]
-            spans = end - start
-            at = np.concatenate(([0], np.cumsum(spans)))
-            src = np.arange(at[-1]) + np.repeat(start - at[:-1], spans)
-            valid = np.asarray(batch.column("text").is_valid())
-            take = pa.array(row, pa.int64())
-            columns = [batch.column(c).take(take) for c in others]
-            yield pa.RecordBatch.from_arrays([*columns, A.strings(points[src], at, valid[row]), pa.array(piece, pa.int32()), pa.array(n_pieces[row], pa.int32())], names=[*others, "text", "piece", "n_pieces"])
-
-    schema = T.StructType([*(limited.schema[c] for c in others), T.StructField("text", T.StringType()), T.StructField("piece", T.IntegerType()), T.StructField("n_pieces", T.IntegerType())])
-    small = F.col("text").isNull() | (F.length("text") <= F.col("max_chars"))
-    whole = limited.filter(small).select(*others, "text", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"))
-    large = limited.filter(~small | F.col("max_chars").isNull() & F.col("text").isNotNull()).mapInArrow(work, schema)
-    return whole.unionByName(large)
-
-
-def with_formats(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Distinct chunks with the format of their document; chunks without a document have none."""
-    formats = documents.select(F.col("doc_key").alias("doc_id"), "format").dropDuplicates(["doc_id"])
-    return chunks.select(*(c for c in COLUMNS if c in chunks.columns)).dropDuplicates(["chunk_id"]).join(formats, "doc_id", "left")
+            at = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(batch))))), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x - offsets[:-1][row], pa.int32())) for x in (start, end)]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), *lists], names=["chunk_id", "starts", "ends"])
+
+    return large.mapInArrow(work, "chunk_id string, starts array<int>, ends array<int>")
+
+
+def split(chunks: DataFrame, documents: DataFrame, params: DataFrame) -> DataFrame:
+    """Chunks above their format's ``max_chars`` cut into pieces; all others stay as they are.
+
+    ``chunks`` has chunk_id, doc_id, ord, text, headings, page_no and source; ``documents`` doc_key and format; ``params`` one
+    row for each format with max_chars and overlap_chars, and one named default (see :func:`with_limits`). The result has
+    one row for each piece: chunk_id, doc_id, a new dense ``ord`` within the document, ``piece`` (from 0) and ``n_pieces``
+    of the chunk, text, headings, page_no, n_chars and source. Rows repeated in full count once. A null text stays one piece
+    with a null text, an empty one stays empty. A chunk whose chunk_id is null goes by its doc_id and ord; if one of these
+    is null too it is left out, as nothing names its pieces.
+
+    Cuts are made once and kept as places in the text. Places and numbers join the texts last, by chunk_id, in the one
+    shuffle that also drops repeated rows; texts are sliced behind it.
+    """
+    rows = _identified(chunks)
+    places = saved(cut_places(chunks, documents, params))
+    n_pieces = F.coalesce(F.size("starts"), F.lit(1))
+    counts = rows.select("chunk_id", "doc_id", "ord").dropDuplicates(["chunk_id"]).join(places.select("chunk_id", "starts"), "chunk_id", "left")
+    counts = counts.select("chunk_id", "doc_id", "ord", n_pieces.alias("n"), F.floor(F.col("ord") / ORD_RUN).alias("run"))
+    runs = W.Window.partitionBy("doc_id", "run").orderBy("ord", "chunk_id").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = counts.groupBy(F.col("doc_id").alias("d"), F.col("run").alias("r")).agg(F.sum("n").alias("n"))
+    before = sums.select("d", "r", F.sum("n").over(W.Window.partitionBy("d").orderBy("r").rowsBetween(W.Window.unboundedPreceding, -1)).alias("before"))
+    within = counts.withColumn("in_run", F.sum("n").over(runs))
+    first = within.join(before, within.doc_id.eqNullSafe(before.d) & within.run.eqNullSafe(before.r)).select("chunk_id", (F.coalesce("in_run", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("first"))
+    whole = rows.dropDuplicates(["chunk_id"]).join(first, "chunk_id").join(places, "chunk_id", "left")
+    pairs = F.coalesce(F.arrays_zip("starts", "ends"), F.array(F.struct(F.lit(0).alias("starts"), F.lit(2**31 - 1).alias("ends"))))
+    pieces = whole.withColumn("n_pieces", n_pieces).select("*", F.posexplode(pairs).alias("piece", "at"))
+    text = F.when(F.col("n_pieces") == 1, F.col("text")).otherwise(F.substring("text", F.col("at.starts") + 1, F.col("at.ends") - F.col("at.starts")))
+    return pieces.withColumn("text", text).select("chunk_id", "doc_id", (F.col("first") + F.col("piece")).cast("int").alias("ord"), "piece", "n_pieces", "text", "headings", "page_no", F.length("text").alias("n_chars"), "source")
+
+
+def oversized(chunks: DataFrame, documents: DataFrame, params: DataFrame) -> DataFrame:
+    """(chunk_id, n_pieces) of the chunks that are above their limit, as the cuts say."""
+    return cut_places(chunks, documents, params).select("chunk_id", F.size("starts").alias("n_pieces")).filter("n_pieces > 1")

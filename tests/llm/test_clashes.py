@@ -23,11 +23,12 @@ def rows(df):
 CALLS = {
     "similar_pairs": lambda c, d, p, l: neardup.similar_pairs(c),
     "look_alikes": lambda c, d, p, l: lookalike.look_alikes(c),
+    "look_alike_classes": lambda c, d, p, l: lookalike.look_alike_classes(c),
     "totals": lambda c, d, p, l: budget.update(c, d).cube,
-    "scans": lambda c, d, p, l: scans.found(c, d),
-    "paragraphs": lambda c, d, p, l: scans.paragraphs(c, d),
-    "split": lambda c, d, p, l: split.split(split.with_formats(c, d), p).drop("headings"),
-    "oversized": lambda c, d, p, l: split.oversized(split.with_formats(c, d), p),
+    "scans": lambda c, d, p, l: scans.found(scans.scanned(c, d)),
+    "paragraphs": lambda c, d, p, l: scans.paragraphs(scans.scanned(c, d)),
+    "split": lambda c, d, p, l: split.split(c, d, p).drop("headings"),
+    "oversized": lambda c, d, p, l: split.oversized(c, d, p),
     "ids": lambda c, d, p, l: tokens.encoded(d).select("doc_id", F.size("ids")),
     "pack": lambda c, d, p, l: packing.pack(crowded(packing.sizes(d, ["byte_bpe_50k"])) if "shard" in d.columns else packing.sizes(d, ["byte_bpe_50k"]), l).groupBy("purpose").agg(F.countDistinct("container"), F.sum("size")),
     "sentences": lambda c, d, p, l: sentences.sentences(sentences.plain_documents(d)),

@@ -17,7 +17,17 @@ def test_no_shuffle(spark, name, schema):
     assert name != "p8_found" or "EqualTo(status,ok)" in plan
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_groups", "p2_found", "p2_forms", "p3_slices", "p3_documents", "p4_found", "p4_paragraphs", "p5_found", "p5_pieces", "p6_ids", "p7_containers", "p7_usage", "p8_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_groups", "p2_found", "p2_forms", "p2_groups", "p3_slices", "p3_documents", "p4_found", "p4_paragraphs", "p5_found", "p5_pieces", "p6_ids", "p7_containers", "p7_usage", "p8_found", "p8_units"])
 def test_every_query_gives_rows(spark, name):
     df = entry.queries()[name](spark, FOLDER)
     assert df.count() > 0
+
+
+def test_p5_found_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("chunks", "documents", "chunk_params"):
+        con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    got = sorted(r.chunk_id for r in entry.queries()["p5_found"](spark, FOLDER).collect())
+    assert got == sorted(r[0] for r in con.sql(entry.oracle_sql()["p5_found"]).fetchall())

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import scans as K
 from quarry.llm.overlap import overlap_length
@@ -61,18 +62,49 @@ def tables(spark):
 
 def test_found(spark):
     c, d, first, second, k = tables(spark)
-    got = {(r.chunk_id, r.line_no, r.kind) for r in K.found(c, d).collect()}
+    got = {(r.chunk_id, r.line_no, r.kind) for r in K.found(K.scanned(c, d)).collect()}
     n = len(first)
     want = {("s#0", 3, "furniture"), ("s#0", n - 1, "furniture"), ("s#0", k, "hyphen"), ("s#1", 3, "furniture"), ("s#1", 4, "misread"), ("s#1", 7, "furniture"), ("s#1", 4 + len(second) - 1, "furniture")}
     assert got == want
-    assert K.found(c.limit(0), d).count() == 0
+    assert K.found(K.scanned(c.limit(0), d)).count() == 0
 
 
 def test_paragraphs(spark):
     c, d, *_ = tables(spark)
     text = {}
-    for r in sorted(K.paragraphs(c, d).collect()):
+    for r in sorted(K.paragraphs(K.scanned(c, d)).collect()):
         text.setdefault(r.chunk_id, []).append(r.text)
     assert " ".join(text["s#0"]) == " ".join((BODY * 6).split())
     assert " ".join(text["s#1"]) == " ".join((BODY * 6).split())
     assert set(text) == {"s#0", "s#1"}
+
+
+def test_a_wide_line_loses_no_document(spark):
+    c, d, *_ = tables(spark)
+    wide = c.withColumn("text", F.when(F.col("chunk_id") == "s#0", F.concat("text", F.lit("\n" + "x" * 91))).otherwise(F.col("text")))
+    before, after = ({r.chunk_id for r in K.scanned(x, d).chunks.collect()} for x in (c, wide))
+    assert before == after == {"s#0", "s#1"}
+
+
+def test_either_direction_needs_context():
+    assert not K.is_misreading("the", "tbe") and K.is_misreading("the", "tbe", K.SIMILAR_TO) and K.is_misreading("arnple", "ample", K.SIMILAR_TO)
+    assert K.skeleton("the") == K.skeleton("tbe") and K.skeleton("arnple") == K.skeleton("ample") and K.skeleton("ville") == K.skeleton("uille")
+
+
+def test_neighbours_choose_the_form(spark):
+    """dcar may be clear or dear, of which clear is more frequent; near is right by what stands beside it."""
+    body = [(["very", "clear", "text"],)] * 30 + [(["my", "dear", "friend"],)] * 9 + [(["my", "dcar", "friend"],), (["tbe", "text"],)] + [(["the", "text"],)] * 8
+    df = spark.createDataFrame(body, "words array<string>")
+    rows = [("dcar", "<dcar>", "clear", 30, 1), ("dcar", "<dcar>", "dear", 9, 1), ("tbe", "<tbe>", "the", 8, 2), ("tbx", "<tbx>", "thx", 8, 2)]
+    got = K.by_context(spark.createDataFrame(rows, "word string, part string, right string, n_good long, kind int"), df).collect()
+    assert {(r.word, r.right) for r in got} == {("dcar", "dear"), ("tbe", "the")}
+
+
+def test_a_very_long_word(spark):
+    c, d, *_ = tables(spark)
+    long = "q" * 100_000
+    more = c.unionByName(spark.createDataFrame([("s#2", "s", 2, f"own\n{long}\nmore", None)], c.schema))
+    assert K.found(K.scanned(more, d)).filter("chunk_id <> 's#2'").count() == 7
+    import pandas as pd
+
+    assert len(K.affixes.func(pd.Series([long]))[0]) <= 2 * K.PART_LONGEST + 1

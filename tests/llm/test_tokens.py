@@ -88,9 +88,53 @@ def test_deltas_reach_what_a_full_count_gives(spark):
     rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
     assert rows(after.cube) == rows(full.cube)
     assert rows(after.snapshot) == rows(full.snapshot)
-    known = {(r.h1, r.h2) for r in before.counts.collect()}
-    assert {(r.h1, r.h2) for r in after.counts.collect()} > known
-    assert rows(B.update(c, d, B.State(*map(saved, after))).cube) == rows(full.cube)
+    known, now = ({(r.p1, r.p2) for r in x.counts.collect()} for x in (before, after))
+    assert now > known
+    assert after.counts.count() == len(now)  # no content twice
+    again = B.update(c, d, B.State(*map(saved, after)))
+    assert rows(again.cube) == rows(full.cube) and again.counts.count() == len(now)
+
+
+def test_equal_contents_are_encoded_once(spark, monkeypatch):
+    """Of 40 equal documents one is encoded, and of a known store none; another tokenizer is counted beside the first."""
+    text = "the same words in every document"
+    c = spark.createDataFrame([(f"k{i}#0", f"k{i}", 0, text) for i in range(40)] + [("z#0", "z", 0, "other words")], "chunk_id string, doc_id string, ord int, text string")
+    d = spark.createDataFrame([(f"k{i}", "s", "en", "a", "txt", "a/x.txt", "x.txt") for i in range(40)], "doc_key string, source string, lang string, stage string, format string, rel_path string, file_name string")
+    sent = []
+    encode = B.encoded_parts
+    monkeypatch.setattr(B, "encoded_parts", lambda parts, *a: sent.append(parts.count()) or encode(parts, *a))
+    first = B.update(c, d)
+    second = B.update(c, d, first)
+    both = B.update(c, d, second, "byte_bpe_multi_50k")
+    assert sent == [2, 0, 2]
+    names = {r.tokenizer: r.n_docs for r in B.slices(both.cube).collect() if r.slice == "all"}
+    assert names == {B.tokenizer_id("byte_bpe_50k"): 41, B.tokenizer_id("byte_bpe_multi_50k"): 41}
+    assert both.snapshot.count() == 82
+
+
+def test_an_earlier_store_ends_in_the_same_totals(spark):
+    """The queries' way: new, changed, moved and removed documents."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables aren't here")
+    c, d = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("chunks", "documents"))
+    parts = saved(B.own_parts(c))
+    before = B.update_parts(*B.earlier(parts, d))
+    after, full = B.update_parts(parts, d, before), B.update_parts(parts, d)
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert rows(after.cube) == rows(full.cube) and rows(after.snapshot) == rows(full.snapshot)
+    gone = before.snapshot.join(after.snapshot, "doc_key", "left_anti").count()
+    assert gone > 0 and rows(before.cube) != rows(full.cube)
+
+
+def test_long_overlaps(spark):
+    from quarry.llm.overlap import longest_overlap
+
+    shared = "word " * 160 + "end."  # 804 characters
+    params = spark.createDataFrame([("txt", 64, 900), ("xlsx", None, None)], "format string, overlap_tokens int, overlap_chars int")
+    c = spark.createDataFrame([("k#0", "k", 0, "first " + shared), ("k#1", "k", 1, shared + "\nown")], "chunk_id string, doc_id string, ord int, text string")
+    assert longest_overlap(params) == 2700 and longest_overlap(params.limit(0)) == 600
+    assert [r.own for r in B.own_parts(c, longest_overlap(params)).orderBy("ord").collect()] == ["first " + shared, "own"]
 
 
 # ---- packing
@@ -118,6 +162,16 @@ def test_swaps_empty_a_container():
     assert P.improve(size, first, 100).max() + 1 == 2 <= first.max() + 1
 
 
+def test_search_to_its_end():
+    import numpy as np
+
+    size = np.random.default_rng(3).integers(5, 60, 400)
+    first = P.best_fit(size, 100)
+    short, whole = P.improve(size, first, 100), P.improve(size, first, 100, P.TO_THE_END)
+    assert -(-size.sum() // 100) <= whole.max() + 1 <= short.max() + 1 and np.bincount(whole, size).max() <= 100
+    assert (P.improve(size, whole, 100, P.TO_THE_END) == whole).all()  # nothing gains any more
+
+
 def test_containers(spark):
     limits = spark.createDataFrame([("p", "t", 10), ("q", "t", 4), ("none", "t", None)], "purpose string, tokenizer string, capacity int")
     items = spark.createDataFrame([(1, "t", 25), (2, "t", 10), (3, "t", 5), (4, "t", 0), (5, "t", 3), (6, "t", 20)], "doc_id long, tokenizer string, size long")
