@@ -1,8 +1,8 @@
 """Command line: build an index, show its state, ask it.
 
-    python -m quarry.cli build ROOT... --index FOLDER [--limit N] [--force] [--skip-ingest] [--skip-embed] [--quiet]
+    python -m quarry.cli build [ROOT...] --index FOLDER [--config FILE] [--env FILE] [--limit N] [--force] [--skip-ingest] [--skip-embed] [--quiet]
     python -m quarry.cli stats (--index FOLDER | --tables FOLDER)
-    python -m quarry.cli query TEXT --index FOLDER [--top-k N] [--stage S] [--formats F...] [--full]
+    python -m quarry.cli query TEXT --index FOLDER [--config FILE] [--env FILE] [--top-k N] [--stage S] [--formats F...] [--full]
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.config import Config
+from quarry.config import Config, load, load_env
 from quarry.functions import text as X
 from quarry.operators import embed, search, store
 from quarry.plans import ingest
@@ -67,7 +67,7 @@ def build(index: Index, config: Config, args: argparse.Namespace) -> int:
         texts = chunks.select("chunk_id", X.prefixed(config.passage_prefix, F.col("text")).alias("text"))
         vectors, new = embed.embed_cached(texts, index.read("cache"), config.model_id, dimensions=config.dimensions)
         index.tables["vectors"].commit(vectors.select("chunk_id", F.col("hash").alias("text_hash"), "embedding"))
-        index.tables["cache"].commit(index.read("cache").unionByName(new))
+        index.tables["cache"].append(new)
     return 0
 
 
@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quarry")
     what = parser.add_subparsers(dest="what", required=True)
     b = what.add_parser("build")
-    b.add_argument("roots", nargs="+")
+    b.add_argument("roots", nargs="*", help="folders; those of the configuration if none are given")
     b.add_argument("--index", required=True)
     b.add_argument("--limit", type=int, default=0)
     for flag in ("--force", "--skip-ingest", "--skip-embed", "--quiet"):
@@ -100,6 +100,9 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--stage")
     q.add_argument("--formats", nargs="*")
     q.add_argument("--full", action="store_true")
+    for each in (b, q):
+        each.add_argument("--config", help="a YAML file over the defaults")
+        each.add_argument("--env", help="a file of KEY=value lines; what the environment has stays")
     args = parser.parse_args(argv)
     spark = ship(SparkSession.builder.getOrCreate())
     if args.what == "stats":
@@ -107,7 +110,13 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(stats(docs, chunks), ensure_ascii=False, indent=1))
         return 0
     index = Index(spark, args.index)
-    return build(index, Config(), args) if args.what == "build" else ask(index, Config(), args)
+    if args.env:
+        load_env(args.env)
+    config = load(args.config) if args.config else Config()
+    if args.what == "query":
+        return ask(index, config, args)
+    args.roots = args.roots or [str(r) for r in config.resolved_roots()]
+    return build(index, config, args)
 
 
 if __name__ == "__main__":

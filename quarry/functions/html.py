@@ -1,118 +1,126 @@
-"""Blocks of Markdown from HTML, with the standard library's parser; one small state machine for each document."""
+"""Markup to Markdown: the standard library's parser says what stands where, column expressions make the text.
+
+A parsed document is an array of blocks. A block is a heading of some level, a paragraph (level 0), or a table, whose rows hold
+the cells' texts as they were; blanks, bars, widths and promoted headings are settled by the functions of ``text`` and
+``tables``, the same for every source.
+"""
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SKIPPED = {"script", "style", "head", "title"}
-PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "br"}
+from quarry.functions import tables as G
+from quarry.functions import text as X
 
+BLOCKS = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))]))
+UNSEEN = frozenset(("script", "style", "head", "title"))
+HEADINGS = {f"h{n}": n for n in range(1, 7)}
+#: Elements that begin and end a block.
+BOUNDS = frozenset((*HEADINGS, "p", "li", "div", "br"))
 
-def flat_text(text: str) -> str:
-    """All runs of blanks, no-break spaces included, as one space."""
-    return re.sub(r"\s+", " ", text.replace("\xa0", " ")).strip()
 
+class Block(NamedTuple):
+    """A heading or paragraph has a text, a table has rows."""
 
-def table_markdown(rows: list[list[str]]) -> str:
-    """Rows of cells as a Markdown table; rows without text are dropped, short ones padded, the first is the header."""
-    rows = [r for r in rows if any(r)]
-    if not rows:
-        return ""
-    wide = max(map(len, rows))
-    lines = ["| " + " | ".join(r + [""] * (wide - len(r))) + " |" for r in rows]
-    return "\n".join([lines[0], "|" + "---|" * wide, *lines[1:]])
+    level: int
+    text: str | None
+    rows: list[list[str]] | None = None
 
 
-class _Blocks(HTMLParser):
-    """Collects blocks in document order. Of nested tables only the outer one counts; their text is part of its cell."""
+class _Reader(HTMLParser):
+    """Writes each piece of text to the sink on top of a stack: the running paragraph, a cell of the outermost table, or none."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[str] = []
-        self.depth = self.skipped = self.level = 0
-        self.rows: list[list[str]] = []
-        self.cell: list[str] | None = None
-        self.span = 1
-        self.text: list[str] = []
-
-    def _end_block(self) -> None:
-        if text := flat_text(" ".join(t.strip() for t in self.text if t.strip())):
-            self.blocks.append("#" * self.level + " " * bool(self.level) + text)
-        self.text, self.level = [], 0
-
-    def _end_cell(self) -> None:
-        if self.cell is not None and self.rows:
-            text = flat_text(" ".join(t.strip() for t in self.cell if t.strip())).replace("|", "\\|")
-            self.rows[-1] += [text, *[""] * (self.span - 1)]
-        self.cell = None
+        self.done: list[Block] = []
+        self.level, self.hidden, self.tables = 0, 0, 0
+        self.running: list[str] = []
+        self.rows: list[list[list[str]]] = []
+        self.sink: list[str] | None = self.running
+
+    def paragraph(self, level: int = 0) -> None:
+        """Ends the running block; the next one has the given level."""
+        if any(x.strip() for x in self.running):
+            self.done.append(Block(self.level, " ".join(self.running)))
+        self.running, self.level = [], level
+        self.sink = self.running
+
+    def table(self) -> None:
+        """Ends the outermost table."""
+        self.done.append(Block(0, None, [[" ".join(cell) for cell in row] for row in self.rows]))
+        self.tables, self.rows, self.sink = 0, [], self.running
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in SKIPPED:
-            self.skipped += 1
-        elif tag == "table":
-            if self.depth == 0:
-                self._end_block()
-                self.rows = []
-            self.depth += 1
-        elif self.depth == 1 and tag == "tr":
-            self._end_cell()
+        self.hidden += tag in UNSEEN
+        if tag == "table":
+            if not self.tables:
+                self.paragraph()
+                self.sink = None
+            self.tables += 1
+        elif self.tables > 1:
+            return  # a table in a cell is text of the cell
+        elif self.tables and tag == "tr":
             self.rows.append([])
-        elif self.depth == 1 and tag in ("td", "th"):
-            self._end_cell()
-            if not self.rows:
-                self.rows.append([])
-            span = dict(attrs).get("colspan") or "1"
-            self.cell, self.span = [], max(1, int(span)) if span.isdigit() else 1
-        elif self.depth == 0 and tag in PARAGRAPHS:
-            self._end_block()
-            self.level = int(tag[1]) if re.fullmatch("h[1-6]", tag) else 0
+            self.sink = None
+        elif self.tables and tag in ("td", "th"):
+            span = next((v for n, v in attrs if n == "colspan"), None) or "1"
+            self.rows = self.rows or [[]]
+            self.sink = []
+            self.rows[-1].extend([self.sink, *([] for _ in range(int(span) - 1 if span.isdigit() else 0))])
+        elif not self.tables and tag in BOUNDS:
+            self.paragraph(HEADINGS.get(tag, 0))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.skipped = max(0, self.skipped - 1)
-        elif tag == "table" and self.depth:
-            self.depth -= 1
-            if self.depth == 0:
-                self._end_cell()
-                if text := table_markdown(self.rows):
-                    self.blocks.append(text)
-        elif self.depth == 1 and tag in ("td", "th", "tr"):
-            self._end_cell()
-        elif self.depth == 0 and tag in PARAGRAPHS:
-            self._end_block()
+        if tag in UNSEEN:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag == "table" and self.tables > 1:
+            self.tables -= 1
+        elif tag == "table" and self.tables:
+            self.table()
+        elif self.tables == 1 and tag in ("td", "th", "tr"):
+            self.sink = None
+        elif not self.tables and tag in BOUNDS:
+            self.paragraph()
 
     def handle_data(self, data: str) -> None:
-        if self.skipped:
-            return
-        if self.depth:
-            if self.cell is not None:
-                self.cell.append(data)
-        else:
-            self.text.append(data)
-
-    def close(self) -> None:
-        super().close()
-        if self.depth:
-            self._end_cell()
-            if text := table_markdown(self.rows):
-                self.blocks.append(text)
-        self._end_block()
-
-
-def html_blocks(html: str | None) -> list[str]:
-    """The blocks of a document; none for null and empty ones. Broken markup never raises."""
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
-    return parser.blocks
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
+        if self.sink is not None and not self.hidden:
+            self.sink.append(data)
+
+
+def parsed(html: str | None) -> list[Block]:
+    """The blocks of a document in its order; none for null and empty ones. Broken markup never raises."""
+    reader = _Reader()
+    reader.feed(html or "")
+    reader.close()
+    if reader.tables:
+        reader.table()
+    reader.paragraph()
+    return reader.done
+
+
+@F.pandas_udf(BLOCKS)
 def blocks(html: pd.Series) -> pd.Series:
-    """Column form of :func:`html_blocks`."""
-    return html.map(html_blocks)
+    """Column form of :func:`parsed`."""
+    return html.map(lambda h: [b._asdict() for b in parsed(h)])
+
+
+def markdown(parts: Column, promote: bool = True) -> Column:
+    """The Markdown of an array of blocks, a blank line between two.
+
+    A paragraph that looks like a heading of an outline becomes one if ``promote``. Rows without text are left out, and
+    blocks without any.
+    """
+
+    def one(block: Column) -> Column:
+        rows = F.filter(F.transform(block.rows, lambda row: F.transform(row, lambda cell: X.html_cell(X.flat(cell)))), lambda row: F.exists(row, lambda cell: cell != ""))
+        text = X.flat(block.text)
+        line = F.when(block.level > 0, F.concat(F.repeat(F.lit("#"), block.level), F.lit(" "), text)).otherwise(X.promoted(text) if promote else text)
+        return F.when(block.rows.isNotNull(), G.markdown(rows)).otherwise(line)
+
+    return F.array_join(F.filter(F.transform(parts, one), lambda x: x != ""), "\n\n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # File endings and the format they are read as.
 FORMATS = {"pdf": "pdf", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "csv": "txt", "html": "txt", "htm": "txt", "md": "txt", "hwp": "hwp", "xls": "xlsx", "txt": "txt"}
 # Endings of files that hold no text.
-BINARY = "png jpg jpeg gif bmp tif tiff psd mp4 mkv avi mov wav mp3 zip 7z rar tar gz stl obj stp step 123dx ps eps bak tmp lnk exe dll doc ppt".split()
+BINARY = ["png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff", "psd", "mp4", "mkv", "avi", "mov", "wav", "mp3", "zip", "7z", "rar", "tar", "gz", "stl", "obj", "stp", "step", "123dx", "ps", "eps", "bak", "tmp", "lnk", "exe", "dll", "doc", "ppt"]
 #: Only the beginning of a file is hashed.
 HASHED_BYTES = 8 * 1024 * 1024
 

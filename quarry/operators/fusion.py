@@ -29,6 +29,6 @@ def fuse_many(lists: DataFrame, k: int = RRF_K, query: str = "query_id", item: s
     return once.groupBy(query, item).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
-def ranks(lists: DataFrame, query: str = "query_id") -> DataFrame:
-    """Ranks from 1 by the lists' ``position``."""
-    return lists.withColumn("rank", F.row_number().over(W.Window.partitionBy(query).orderBy("position")).cast("int"))
+def ranks(lists: DataFrame, *by: str) -> DataFrame:
+    """Ranks from 1 by the ``position`` in each list, which goes by the given columns (the query if none)."""
+    return lists.withColumn("rank", F.row_number().over(W.Window.partitionBy(*(by or ("query_id",))).orderBy("position")).cast("int"))

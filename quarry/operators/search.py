@@ -48,4 +48,4 @@ def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, config: Co
     hits = final(fused, meta, top_k or config.final_top_k, stage, formats)
     shown = hits.join(corpus.select("chunk_id", "text"), "chunk_id")
     source = F.struct("file_name", "rel_path", "stage", "format", "page_no", "headings").alias("source")
-    return shown.select("query_id", "rank", "chunk_id", "score", "text", source)
+    return shown.select("query_id", "rank", "chunk_id", F.bround("score", 5).alias("score"), "text", source)  # rounded after the ordering

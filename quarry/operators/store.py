@@ -1,7 +1,7 @@
 """The store: documents, chunks and vectors as parquet tables that change by whole snapshots.
 
-A snapshot is a folder; the table's ``CURRENT`` file names the one that holds. Writers write a new folder and then swing
-the name, so that a reader never sees half a change and a crash leaves the old state.
+A snapshot is a set of folders; the table's ``CURRENT`` file names those that hold. Writers write a new folder and then swing
+the file, so that a reader never sees half a change and a crash leaves the old state.
 """
 
 from __future__ import annotations
@@ -22,27 +22,35 @@ class Snapshots:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
+    def current(self) -> list[str] | None:
         marker = self._path(f"{self.folder}/CURRENT")
         if not self._fs.exists(marker):
             return None
-        return self.spark.read.text(f"{self.folder}/CURRENT").first()[0]
+        return [r[0] for r in self.spark.read.text(f"{self.folder}/CURRENT").collect()]  # a line for each folder
 
     def read(self) -> DataFrame:
-        if (name := self.current()) is None:
+        if (names := self.current()) is None:
             raise FileNotFoundError(f"{self.folder} has no snapshot: build the index first")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(*(f"{self.folder}/{name}" for name in names))
 
-    def commit(self, df: DataFrame) -> str:
-        """Writes a snapshot and makes it the current one. ``df`` may read the snapshot that it replaces."""
+    def append(self, df: DataFrame) -> str:
+        """Adds rows to the current snapshot, whose folders stay as they are."""
+        return self.commit(df, self.current() or [])
+
+    def commit(self, df: DataFrame, besides: list[str] | None = None) -> str:
+        """Writes a snapshot and makes it the current one, beside some folders of the old. ``df`` may read the snapshot that it replaces."""
         name = f"snapshot-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
         temporary, marker = self._path(f"{self.folder}/CURRENT.{name}"), self._path(f"{self.folder}/CURRENT")
         out = self._fs.create(temporary, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray("\n".join([*(besides or []), name]).encode()))
         out.close()
-        self._fs.delete(marker, False)
-        self._fs.rename(temporary, marker)
+        # one step that replaces the old name: a crash leaves either the one or the other
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(marker.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.valueOf("OVERWRITE")
+        context.rename(self._fs.makeQualified(temporary), self._fs.makeQualified(marker), how)
         return name
 
 
@@ -51,11 +59,21 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+#: Chunks of a document are numbered within runs of so many before the runs are added up, so that no document makes one task.
+RUN = 4096
+
+
 def numbered(chunks: DataFrame) -> DataFrame:
-    """Chunks with a dense ``ord`` from 0 within their document, in the order they had, and ids made of both."""
-    order = W.Window.partitionBy("doc_id").orderBy("ord", "chunk_id")
-    rows = chunks.withColumn("ord", (F.row_number().over(order) - 1).cast("int"))
-    return rows.withColumn("chunk_id", F.concat_ws("#", "doc_id", "ord"))
+    """Chunks with a dense ``ord`` from 0 within their document, in the order they had, and ids made of both.
+
+    A run holds the chunks whose ord lies in one stretch of RUN; windows number a run, and the runs' sizes are added up.
+    """
+    rows = chunks.withColumn("_run", F.floor(F.coalesce("ord", F.lit(-1)) / RUN))
+    order = W.Window.partitionBy("doc_id", "_run").orderBy("ord", "chunk_id")
+    sizes = rows.groupBy(F.col("doc_id").alias("_doc"), F.col("_run").alias("_r")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_doc", "_r", F.coalesce(F.sum("_n").over(W.Window.partitionBy("_doc").orderBy("_r").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    both = rows.withColumn("_place", F.row_number().over(order) - 1).join(before, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_run") == F.col("_r")))
+    return both.withColumn("ord", (F.col("_place") + F.col("_before")).cast("int")).withColumn("chunk_id", F.concat_ws("#", "doc_id", "ord")).select(*chunks.columns)
 
 
 def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:

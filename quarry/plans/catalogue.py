@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quarry.config import Config
+from quarry.functions import html as H
 from quarry.functions import paths
 from quarry.functions import tables as G
 from quarry.functions import text as X
@@ -420,9 +421,9 @@ def headings_export(spark: SparkSession, d: str) -> DataFrame:
       rank - row_number() over (partition by query_id, ranker order by rank, chunk_id) = 0 as dense from ranked_list""")
 def rank_positions(spark: SparkSession, d: str) -> DataFrame:
     """Ranks from 1 by the order of each list."""
-    order = W.Window.partitionBy("query_id", "ranker").orderBy("rank", "chunk_id")
-    rows = table(spark, d, "ranked_list").withColumn("position", F.row_number().over(order))
-    return rows.select("query_id", "ranker", "chunk_id", "rank", F.col("position").cast("int").alias("position"), (F.col("rank") - F.col("position") == 0).alias("dense"))
+    lists = table(spark, d, "ranked_list").withColumnRenamed("rank", "given").withColumn("position", F.struct("given", "chunk_id"))
+    rows = fusion.ranks(lists, "query_id", "ranker")
+    return rows.select("query_id", "ranker", "chunk_id", F.col("given").alias("rank"), F.col("rank").alias("position"), (F.col("given") == F.col("rank")).alias("dense"))
 
 
 @query("""
@@ -449,7 +450,8 @@ def _with_params(spark: SparkSession, d: str) -> DataFrame:
     default = params.filter("fmt = 'default'").select(F.col("max_tokens").alias("m"), F.col("overlap_tokens").alias("o"))
     docs = table(spark, d, "documents").select(F.col("doc_key").alias("doc_id"), F.lower(F.trim("format")).alias("fmt"))
     rows = table(spark, d, "chunks").select("chunk_id", "doc_id", "ord", "text").dropDuplicates(["chunk_id"])
-    both = rows.join(docs, "doc_id", "left").join(F.broadcast(params), "fmt", "left").crossJoin(F.broadcast(default))
+    # the one row of defaults; without it a format that has no row of its own has nulls
+    both = rows.join(docs, "doc_id", "left").join(F.broadcast(params), "fmt", "left").join(F.broadcast(default), F.lit(True), "left")
     return both.withColumn("max_tokens", F.coalesce("max_tokens", "m")).withColumn("overlap_tokens", F.coalesce("overlap_tokens", "o")).drop("m", "o")
 
 
@@ -461,7 +463,7 @@ def param_overlay(spark: SparkSession, d: str) -> DataFrame:
     names = ("max_tokens", "overlap_tokens", "max_chars")
     default = params.filter("format = 'default'").select(*(F.col(c).alias(f"d_{c}") for c in names))
     docs = table(spark, d, "documents").select("doc_key", F.lower(F.trim("format")).alias("format"))
-    both = docs.join(F.broadcast(params), "format", "left").crossJoin(F.broadcast(default))
+    both = docs.join(F.broadcast(params), "format", "left").join(F.broadcast(default), F.lit(True), "left")
     return both.select("doc_key", *(F.coalesce(c, f"d_{c}").alias(c) for c in names))
 
 
@@ -471,18 +473,14 @@ def overlap_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    with {PARAMS_SQL}, {TAIL_SQL},
-    k as (select *, length(regexp_replace(text, '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g')) >= 300 as kept from t),
-    w as (select *, lag(case when kept then tail end) over (partition by doc_id order by ord) as before from k)
-    select doc_id || '#' || (row_number() over (partition by doc_id order by ord) - 1) as chunk_id, chunk_id as old_id, length(case when coalesce(before, '') = '' then text else before || chr(10) || text end)::int as n_chars from w where kept""")
+    with {PARAMS_SQL}, g as (select * replace (replace(replace(text, '||', '|' || chr(10) || '|'), '||', '|' || chr(10) || '|') as text) from p), {TAIL_SQL.replace("from p)", "from g)")},
+    k as (select * from t where length(regexp_replace(text, '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g')) >= 300),
+    w as (select k.*, b.tail as before from k left join k b on b.doc_id = k.doc_id and b.ord = k.ord - 1)
+    select doc_id || '#' || ord as chunk_id, doc_id, ord, n_chars from (select doc_id, cast(row_number() over (partition by doc_id order by ord) - 1 as int) as ord, length(case when coalesce(before, '') = '' then text else before || chr(10) || text end)::int as n_chars from w)""")
 def chunk_renumber(spark: SparkSession, d: str) -> DataFrame:
-    """The chunk stream with short bodies dropped: tails carried over, ids numbered anew."""
-    raw = _with_params(spark, d).select("doc_id", F.col("ord").alias("raw_ord"), "chunk_id", "text", "overlap_tokens")
-    order = W.Window.partitionBy("doc_id").orderBy("raw_ord")
-    kept = X.long_enough(F.col("text"), 300)
-    rows = raw.withColumn("kept", kept).withColumn("before", F.lag(F.when(kept, X.tail(F.col("text"), F.col("overlap_tokens")))).over(order)).filter("kept")
-    number = (F.row_number().over(order) - 1).cast("string")
-    return rows.select(F.concat_ws("#", "doc_id", number).alias("chunk_id"), F.col("chunk_id").alias("old_id"), F.length(X.with_tail(F.col("before"), F.col("text"))).alias("n_chars"))
+    """The chunk stream at a limit that drops some bodies: tails carried over, ids numbered anew."""
+    raw = _with_params(spark, d).select("doc_id", F.col("ord").alias("raw_ord"), F.array().cast("array<string>").alias("headings"), F.col("text").alias("body"), "overlap_tokens")
+    return chunking.finished(raw, 300).select("chunk_id", "doc_id", "ord", "n_chars")
 
 
 @query()
@@ -492,7 +490,7 @@ def hybrid_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(docs, Config())
 
 
-CELLS_SQL = "list_transform(string_split(trim(line, ' '), '|')[2:-2], lambda c: trim(c, ' '))"
+CELLS_SQL = f"list_transform(string_split(trim(line, ' '), '|')[2:-2], lambda c: regexp_replace(c, '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g'))"
 
 
 @query(f"""
@@ -506,11 +504,30 @@ def grid_markdown(spark: SparkSession, d: str) -> DataFrame:
     """The table rows of each chunk brought to one width."""
     chunks = table(spark, d, "chunks").select("chunk_id", "text").dropDuplicates(["chunk_id"])
     lines = F.filter(F.split("text", "\n"), lambda x: x.startswith("|") & x.endswith("|") & (F.length(x) > 1))
-    cells = F.transform(lines, lambda x: F.transform(F.slice(F.split(F.trim(x), r"\|"), F.lit(2), F.size(F.split(x, r"\|")) - 2), lambda c: F.trim(c)))
-    rows = chunks.withColumn("rows", F.filter(cells, lambda r: F.exists(r, lambda c: c != ""))).filter(F.size("rows") > 0)
+    cells = F.transform(lines, lambda x: F.slice(F.split(F.trim(x), r"\|"), F.lit(2), F.size(F.split(x, r"\|")) - 2))
+    grid = F.transform(cells, lambda row, r: F.transform(row, lambda c, k: F.struct(F.trim(c).alias("text"), r.alias("start_row"), k.alias("start_col"))))
+    rows = chunks.withColumn("rows", G.grid_rows(grid)).filter(F.size("rows") > 0)
     return rows.select("chunk_id", F.size("rows").alias("n_rows"), G.width(F.col("rows")).alias("width"), G.markdown(F.col("rows")).alias("markdown"))
 
 
+@query(f"""
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where text is not null),
+    f as (select doc_id, n, trim(regexp_replace(line, '{BLANK_SQL}+', ' ', 'g'), ' ') as line from l),
+    h as (select *, case
+      when length(line) > 60 or suffix(line, '다.') or suffix(line, '요.') or suffix(line, '임.') or suffix(line, '함.') then null
+      when regexp_matches(line, '^{BLANK_SQL}*\\p{{Nd}}{{4}}{BLANK_SQL}*[.\\-/년]') or not regexp_matches(line, '[가-힣A-Za-z]') then null
+      {RULES_SQL} end as level from f where line <> '')
+    select doc_id, count(*) as blocks, count(level) as promoted, sum(length(line) + coalesce(level + 1, 0))::bigint as chars from h group by 1""")
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of every document as paragraphs of markup, read back as blocks, outline lines as headings."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.split(escaped, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), ""), F.lit("</body></html>"))
+    blocks = docs.select("doc_id", F.explode(H.blocks(page)).alias("b")).select("doc_id", X.flat(F.col("b.text")).alias("line"))
+    shown = blocks.withColumn("shown", H.markdown(F.array(F.struct(F.lit(0).alias("level"), F.col("line").alias("text"), F.lit(None).cast("array<array<string>>").alias("rows")))))
+    return shown.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("shown") != F.col("line")).alias("promoted"), F.sum(F.length("shown")).alias("chars"))
+
+
 # ---- the store -----------------------------------------------------------------------------------------------------
 
 

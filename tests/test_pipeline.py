@@ -76,9 +76,11 @@ def test_reader_chain(spark):
 
 def test_chunk_stream(spark):
     rows = [("d", 0, ["h"], "first body that is long enough to stay here", 4), ("d", 1, [], "short", 4), ("d", 2, [], "second body that is long enough to stay", 4), ("d", 3, [], "third body, after a kept one, stays as well", 4)]
+    rows = [(*r, p) for r, p in zip(rows, ([0, 3], None, [2], []))]
     raw = spark.createDataFrame(rows, chunking.RAW)
     got = chunking.finished(raw).orderBy("ord").collect()
     assert [r.chunk_id for r in got] == ["d#0", "d#1", "d#2"]
+    assert [r.page_no for r in got] == [3, 2, None]
     assert got[1].text == rows[2][3]  # the short one between breaks the chain
     assert got[2].text == "to stay\n" + rows[3][3]
     assert [r.n_chars for r in got] == [len(r.text) for r in got]
@@ -96,6 +98,26 @@ def test_own_splitter_keeps_all_words(lines, limit):
     assert chunking.split_markdown(None, limit) == []
 
 
+def test_scripts_without_blanks_have_limits():
+    text = "これは文章です。" * 4500  # 36,000 characters
+    out = chunking.split_markdown(text, 512)
+    assert all(chunking._size(b) <= 512 for _, b in out) and "".join(b for _, b in out) == text
+    assert [b for _, b in chunking.split_markdown("漢" * 1000, 400)] == ["漢" * 400, "漢" * 400, "漢" * 200]
+    assert chunking.split_markdown("One.  Two.", 100) == [([], "One.  Two.")]
+
+
+def test_pages():
+    out = chunking.split_pages("one\ftwo words\n\fthree", 3)
+    assert [(b, p) for _, b, p in out] == [("one\ntwo words", [1, 2]), ("three", [3])]
+
+
+def test_numbers_across_runs(spark, monkeypatch):
+    monkeypatch.setattr(store, "RUN", 3)
+    rows = [(f"x{i}", d, i * 2) for d in ("a", "b") for i in range(8)] + [("y", None, 0), ("z", "a", None)]
+    got = store.numbered(spark.createDataFrame(rows, "chunk_id string, doc_id string, ord int")).collect()
+    assert sorted(r.ord for r in got if r.doc_id == "a") == list(range(9)) and sorted(r.ord for r in got if r.doc_id == "b") == list(range(8))
+
+
 def test_ingestion_run(spark, tmp_path):
     body = "A paragraph that is long enough to be kept as a chunk of its own."
     for name, text in {"a/one.txt": body, "a/two.txt": body, "b/bad.html": "", "c.zip": "z", "d.md": "# T\n\n" + body + " More."}.items():

@@ -9,9 +9,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from quarry.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = catalogue.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables aren't here")
 
 
@@ -36,7 +37,7 @@ def rows(df):
 
 
 def test_every_sql_has_its_query():
-    assert set(SQL) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

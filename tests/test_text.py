@@ -76,10 +76,13 @@ def test_grid(spark):
     assert values(spark, G.captioned(F.lit("cap"), F.col("x")), [("t",), ("",), (None,)]) == ["cap\n\nt", "cap", "cap"]
 
 
-def test_html_blocks():
-    page = "<h2>T</h2><p>a <b>b&nbsp;c<script>x</script></p><table><tr><th>h<th colspan=2>i</tr><tr><td>1<table><tr><td>in</td></tr></table></td><td rowspan=2>x|y</td></tr><tr><td> </td></tr></table>tail"
-    assert H.html_blocks(page) == ["## T", "a b c", "| h | i |  |\n|---|---|---|\n| 1 in | x\\|y |  |", "tail"]
-    assert H.html_blocks(None) == H.html_blocks("") == []
+def test_html_blocks(spark):
+    page = "<h2>T</h2><p>a <b>b&nbsp;c<script>x</script></p><p>1. Aim</p><table><tr><th>h<th colspan=2>i</tr><tr><td>1<table><tr><td>in</td></tr></table></td><td rowspan=2>x|y</td></tr><tr><td> </td></tr></table>tail<table><tr><td>open"
+    df = spark.createDataFrame([(page,), ("",), (None,), ("<table></table><p> </p>",)], "html string").coalesce(1)
+    got = [r[0] for r in df.select(H.markdown(H.blocks(F.col("html")))).collect()]
+    assert got[0].split("\n\n") == ["## T", "a b c", "## 1. Aim", "| h | i |  |\n|---|---|---|\n| 1 in | x\\|y |  |", "tail", "| open |\n|---|"]
+    assert got[1:] == ["", "", ""]
+    assert H.parsed(None) == H.parsed("") == []
 
 
 def test_vectors(spark):
