@@ -7,7 +7,7 @@
   with its hyphen more often than without.
 * Misread characters. Words are grouped by a skeleton in which confusable glyphs are one. A rare form is wrong if glyph
   confusions turn a frequent form of its group into it; of several such forms the one is right that stands beside the same
-  neighbouring words most often. Confusions that are less usual count only if some neighbour supports them.
+  neighbouring words most often. Confusions that are less usual count only if most neighbours support them.
 """
 
 from __future__ import annotations
@@ -250,8 +250,8 @@ def other_sides(word: pd.Series, right: pd.Series, part: pd.Series) -> pd.DataFr
 
 @F.pandas_udf(T.IntegerType())
 def misreads(true: pd.Series, seen: pd.Series) -> pd.Series:
-    """1 if usual confusions turn the one into the other, 2 if it takes others or another direction, else 0."""
-    return pd.Series([1 if is_misreading(a, b) else 2 if is_misreading(a, b, SIMILAR_TO) else 0 for a, b in zip(true, seen)], dtype="int32")
+    """1 if usual confusions turn the one into the other, 2 if it takes others or another direction and makes no digit, else 0."""
+    return pd.Series([1 if is_misreading(a, b) else 2 if not re.search(r"\d", b) and is_misreading(a, b, SIMILAR_TO) else 0 for a, b in zip(true, seen)], dtype="int32")
 
 
 def by_context(candidates: DataFrame, body: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def by_context(candidates: DataFrame, body: DataFrame) -> DataFrame:
 
     A neighbour is the word before or after in the line. A candidate's support is how often the corpus has it beside the
     neighbours that the word has, counted before the join. Without support the most frequent one is right; a candidate
-    by unusual confusions must have some.
+    by unusual confusions must be known beside at least half of the word's neighbours.
     """
     words = F.transform("words", F.lower)
     beside = body.select(F.explode(F.arrays_zip(F.slice(words, 1, F.greatest(F.size("words") - 1, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))).alias("p"))
@@ -270,9 +270,9 @@ def by_context(candidates: DataFrame, body: DataFrame) -> DataFrame:
     open_ = rows.filter("several").select("word", "right").distinct()
     forms = open_.select(F.explode(F.array("word", "right")).alias("form")).distinct()
     sides = saved(sides.join(forms, "form", "left_semi"))
-    own = open_.join(sides.select(F.col("form").alias("word"), "side", "other"), "word")
-    support = own.join(sides.withColumnRenamed("form", "right"), ["right", "side", "other"]).groupBy("word", "right").agg(F.sum("n").alias("support"))
-    ranked = rows.join(support, ["word", "right"], "left").withColumn("support", F.coalesce("support", F.lit(0))).filter("kind = 1 or support > 0")
+    own = open_.join(sides.select(F.col("form").alias("word"), "side", "other"), "word").withColumn("places", F.count("*").over(W.Window.partitionBy("word", "right")))
+    support = own.join(sides.withColumnRenamed("form", "right"), ["right", "side", "other"]).groupBy("word", "right").agg(F.sum("n").alias("support"), (F.count("*") * 2 >= F.max("places")).alias("mostly"))
+    ranked = rows.join(support, ["word", "right"], "left").withColumn("support", F.coalesce("support", F.lit(0))).filter("kind = 1 or mostly")
     best = W.Window.partitionBy("word").orderBy(F.col("support").desc(), F.col("kind"), F.col("n_good").desc(), F.col("right"))
     return ranked.withColumn("place", F.row_number().over(best)).filter("place = 1").select("word", "part", "right")
 
