@@ -59,7 +59,7 @@ NUMBERED = re.compile(r"\d{1,4}\s{2,}\S|.*\s\|\s*\d{1,4}\Z")
 NUMBERS = re.compile(r"[\d,.\s%]+\Z")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"”’“»)\]]*\s*\Z")
 WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
-SPLIT_WORD = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*\Z")
+LETTER = re.compile(r"[^\W\d_]")
 FIRST_WORD = re.compile(r"\s*([^\W\d_]+)")
 # a digit among small letters; then numbers that may hold letters, and codes that hold digits
 DIGIT_IN_WORD = re.compile(r"(?<=[a-zäöüß])[0159](?=[a-zäöüß])|(?<=[a-zäöüß]{2})[0159]\Z|\A[0159](?=[a-zäöüß]{3})")
@@ -116,6 +116,17 @@ def is_misreading(true: str, seen: str, confusions: dict[str, list[str]] = USUAL
     return len(b) in reach.get(len(a), ())
 
 
+def first_half(line: str) -> str | None:
+    """The letters before the hyphen that a line ends with, if there are any; found from the line's end, in the time of their number."""
+    bare = line.rstrip()
+    if not bare or bare[-1] not in HYPHENS:
+        return None
+    end = start = len(bare) - 1
+    while start and LETTER.match(bare, start - 1):
+        start -= 1
+    return bare[start:end] or None
+
+
 def odd_number(line: str) -> bool:
     """Whether a number of the line holds a letter that stands for a digit."""
     return any(re.search(r"\d", m) and re.search(r"[OSBlI]", m) for m in NUMBER.findall(line))
@@ -140,7 +151,7 @@ def _lines(chunk_id: str, doc_id: str, order: int, text: str, before: str | None
     rows = []
     plain = [not (_is_page_number(x.strip()) or NUMBERED.match(x.strip()) or NUMBERS.match(x)) and bool(x.strip()) for x in own]
     width = max((len(x) for x, p in zip(own, plain) if p), default=0)
-    open_ = [p and not SENTENCE_END.search(x) and not SPLIT_WORD.search(x) for x, p in zip(own, plain)]
+    open_ = [p and not SENTENCE_END.search(x) and first_half(x) is None for x, p in zip(own, plain)]
 
     def fits(i: int, skip: set[int]) -> bool:
         j = next((j for j in range(i + 1, len(own)) if plain[j] and j not in skip), None)
@@ -282,8 +293,8 @@ def broken_word(line: pd.Series, following: pd.Series) -> pd.DataFrame:
     """The two parts of a word that a line's last hyphen breaks; null if the next line doesn't go on with a small letter."""
     out = []
     for a, b in zip(line, following):
-        m, n = SPLIT_WORD.search(a or ""), FIRST_WORD.match(b or "")
-        out.append((m[1], n[1]) if m and n and n[1][0].islower() else (None, None))
+        first, n = first_half(a or ""), FIRST_WORD.match(b or "")
+        out.append((first, n[1]) if first and n and n[1][0].islower() else (None, None))
     return pd.DataFrame(out, columns=["first", "rest"])
 
 

@@ -100,6 +100,10 @@ def test_neighbours_choose_the_form(spark):
     assert {(r.word, r.right) for r in got} == {("dcar", "dear"), ("tbe", "the")}
 
 
+def test_first_half():
+    assert [K.first_half(x) for x in ("a wo-", "wo\u00ad ", "x1-", "-", "", "ab", "ab-cd\u2010")] == ["wo", "wo", None, None, None, None, "cd"]
+
+
 def test_a_very_long_word(spark):
     c, d, *_ = tables(spark)
     long = "q" * 100_000
