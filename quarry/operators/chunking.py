@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quarry.config import Config
 from quarry.functions import text as X
 from quarry.operators.store import numbered
+from quarry.runtime import saved
 from quarry.sources.readers import PAGE_BREAK
 
 HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*\Z")
@@ -147,7 +148,7 @@ def finished(raw: DataFrame, min_chars: int = 30) -> DataFrame:
     The tail is that of the body just before, if that was kept; a dropped body breaks the chain. Neighbours meet by their
     place in an equi-join, and numbers are added up over runs, so that no document makes one task. ``raw_ord`` is dense.
     """
-    rows = raw.withColumn("body", X.unglued(F.col("body"))).filter(X.long_enough(F.col("body"), min_chars))
+    rows = saved(raw.withColumn("body", X.unglued(F.col("body"))).filter(X.long_enough(F.col("body"), min_chars)))  # read twice, split once
     tails = rows.select("doc_id", (F.col("raw_ord") + 1).alias("raw_ord"), X.tail(F.col("body"), F.col("overlap_tokens")).alias("before"))
     both = rows.join(tails, ["doc_id", "raw_ord"], "left").withColumn("text", X.with_tail(F.col("before"), F.col("body")))
     page = X.first_page(F.col("pages")) if "pages" in raw.columns else F.lit(None).cast("int")
