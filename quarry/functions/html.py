@@ -119,8 +119,10 @@ def markdown(parts: Column, promote: bool = True) -> Column:
 
     def one(block: Column) -> Column:
         rows = F.filter(F.transform(block.rows, lambda row: F.transform(row, lambda cell: X.html_cell(X.flat(cell)))), lambda row: F.exists(row, lambda cell: cell != ""))
-        text = X.flat(block.text)
+        text = block.text
         line = F.when(block.level > 0, F.concat(F.repeat(F.lit("#"), block.level), F.lit(" "), text)).otherwise(X.promoted(text) if promote else text)
         return F.when(block.rows.isNotNull(), G.markdown(rows)).otherwise(line)
 
-    return F.array_join(F.filter(F.transform(parts, one), lambda x: x != ""), "\n\n")
+    # texts are made flat in a pass of their own, as an expression in a lambda is evaluated wherever it is named
+    flat = F.transform(parts, lambda b: F.struct(b.level.alias("level"), X.flat(b.text).alias("text"), b.rows.alias("rows")))
+    return F.array_join(F.filter(F.transform(flat, one), lambda x: x != ""), "\n\n")

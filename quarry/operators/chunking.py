@@ -74,6 +74,9 @@ def _cut(word: str, limit: int) -> Iterator[str]:
 
 def _parts(kind: str, text: str, limit: int) -> Iterator[str]:
     """A block in parts of at most the limit: rows of a table, else sentences, words and characters."""
+    if _size(text) <= limit:
+        yield text
+        return
     if kind == "table":
         yield from _packed(text.split("\n"), "\n", limit)
         return
