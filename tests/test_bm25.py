@@ -36,3 +36,10 @@ def test_best_in_blocks_equal_all_scores(monkeypatch):
     for n in range(5):
         want = sorted((i for i in range(40) if scores[n, i] > 0), key=lambda i: (-scores[n, i], i))[:6]
         assert {(r["chunk_id"], r["score"]) for r in got.to_pylist() if r["query_id"] == n} == {(f"{i:03}", scores[n, i] + base[n]) for i in want}
+
+
+def test_searches_read_the_chunks_once(spark):
+    """What they join and rank is read off one saved table; before, each use dropped repeated rows and joined documents anew."""
+    for name in ("search_texts", "search_texts_stage", "search_texts_format"):
+        files = entry.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not any("chunks.parquet" in f for f in files), name
