@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 import __spark_entry__ as entry
-from quarry.operators import bm25
+from quarry.operators import bm25, embed
 from tests.test_searches import tables
 
 
@@ -43,3 +43,11 @@ def test_searches_read_the_chunks_once(spark):
     for name in ("search_texts", "search_texts_stage", "search_texts_format"):
         files = entry.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
         assert files and not any("chunks.parquet" in f for f in files), name
+
+
+def test_a_term_is_hashed_once(monkeypatch):
+    hashed = []
+    monkeypatch.setattr(embed.hashlib, "blake2b", lambda x, f=embed.hashlib.blake2b, **k: hashed.append(x) or f(x, **k))
+    made = embed.hashing(["onlyhere onlyhere", "onlyhere", ""], 8)
+    assert hashed == [b"onlyhere"]
+    assert (made[0] == made[1]).all() and abs(np.abs(made[0]).sum() - 1) < 1e-6 and not made[2].any()
