@@ -2,7 +2,7 @@
 
 Items are dealt by hash into shards of a bounded number, each packed by one task on its own: a shard can waste no more than
 one container's room beyond what its items force, which among thousands is nothing. Within a shard the largest items go
-first, each to the fullest container that takes it; then the emptiest containers are worked on: moving one of their items,
+first, each to the fullest container that takes it; then the containers are worked on, emptiest first: moving one of their items,
 or exchanging one for one or two for one with a fuller container, must raise the sum of squared fills. Mass so flows from
 empty to full containers until some are empty and go.
 """
@@ -30,14 +30,15 @@ SHARD = 5000
 
 class Search(NamedTuple):
     """How far the local search goes: passes over the containers, the part of them, emptiest first, that each pass works on,
-    and of how many of a container's items pairs are tried. TO_THE_END goes on until no exchange gains anything."""
+    and of how many of a container's items pairs are tried. TO_THE_END, which is what is done unless something else is asked
+    for, goes on until the containers are as few as the sizes' sum allows or no exchange gains anything."""
 
-    passes: int | None = 6
-    emptiest: float = 0.2
-    pairs_of: int | None = 8
+    passes: int | None = None
+    emptiest: float = 1.0
+    pairs_of: int | None = None
 
 
-TO_THE_END = Search(None, 1.0, None)
+TO_THE_END = Search()
 
 
 def sizes(documents: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS) -> DataFrame:
@@ -71,12 +72,20 @@ def best_fit(size: np.ndarray, capacity: int) -> np.ndarray:
     return where
 
 
-def improve(size: np.ndarray, where: np.ndarray, capacity: int, search: Search = Search()) -> np.ndarray:
+def _outs(mine: list[int], paired: list[int], size: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """The items, sorted by size, that may go out alone, then the pairs; of items of one size the first, and the first two for pairs."""
+    yield from ((i,) for k, i in enumerate(mine) if not k or size[mine[k - 1]] != size[i])
+    paired = [i for k, i in enumerate(paired) if k < 2 or size[paired[k - 2]] != size[i]]
+    yield from ((i, j) for a, i in enumerate(paired) for j in paired[a + 1 :])
+
+
+def improve(size: np.ndarray, where: np.ndarray, capacity: int, search: Search = TO_THE_END) -> np.ndarray:
     """The containers after swaps out of the emptiest ones; never more containers than before."""
     where = where.copy()
     n = int(where.max()) + 1 if len(where) else 0
     fill = np.bincount(where, size, n).astype(np.int64)
     used = np.bincount(where, minlength=n) > 0
+    least = -(-int(size.sum()) // capacity)
     members = [set() for _ in range(n)]
     for i, c in enumerate(where.tolist()):
         members[c].add(i)
@@ -93,15 +102,19 @@ def improve(size: np.ndarray, where: np.ndarray, capacity: int, search: Search =
         order = order[np.argsort(fill[order], kind="stable")]
         gained = False
         for c in order[: max(2, int(search.emptiest * len(order)))].tolist():
+            if used.sum() <= least:  # no packing has fewer
+                return np.unique(where, return_inverse=True)[1]
             tried = True
             while tried and members[c]:
                 tried = False
                 mine = sorted(members[c], key=lambda i: -size[i])
-                singles = [(i,) for i in mine]
-                pairs = [(i, j) for a, i in enumerate(mine[: search.pairs_of]) for j in mine[a + 1 : search.pairs_of]]
                 room = capacity - fill
-                for out in (*singles, *pairs):
+                failed = set()
+                for out in _outs(mine, mine[: search.pairs_of], size):
                     x = int(sum(size[i] for i in out))
+                    if (len(out), x) in failed:  # what is possible depends on the sum alone
+                        continue
+                    failed.add((len(out), x))
                     if len(out) == 1:
                         fits = np.flatnonzero(used & (room >= x) & (fill > fill[c] - x))
                         fits = fits[fits != c]
@@ -128,7 +141,7 @@ def improve(size: np.ndarray, where: np.ndarray, capacity: int, search: Search =
     return np.unique(where, return_inverse=True)[1]
 
 
-def pack(items: DataFrame, limits: DataFrame, search: Search = Search()) -> DataFrame:
+def pack(items: DataFrame, limits: DataFrame, search: Search = TO_THE_END) -> DataFrame:
     """(purpose, doc_id, piece, start, size, container) of sized items (doc_id, tokenizer, size).
 
     ``limits`` has purpose, tokenizer and capacity, a few rows. An item above the capacity is cut into pieces of the

@@ -172,6 +172,22 @@ def test_search_to_its_end():
     assert (P.improve(size, whole, 100, P.TO_THE_END) == whole).all()  # nothing gains any more
 
 
+def test_queries_search_to_the_end():
+    """Where six passes over the emptiest fifth leave a container too many; and pairs of many equal items are tried once."""
+    import inspect
+
+    import numpy as np
+
+    assert {inspect.signature(f).parameters["search"].default for f in (P.improve, P.pack)} == {P.TO_THE_END}
+    for seed, n in ((14, 24), (33, 23), (38, 23), (40, 23)):
+        size = np.random.default_rng(seed).integers(20, 60, 60)
+        first = P.best_fit(size, 100)
+        assert P.improve(size, first, 100).max() + 1 == n < P.improve(size, first, 100, P.Search(6, 0.2, 8)).max() + 1
+    size = np.full(4000, 5)
+    assert P.improve(size, P.best_fit(size, 2047), 2047).max() + 1 == 10
+    assert len(list(P._outs(list(range(4000)), list(range(4000)), size))) == 2
+
+
 def test_containers(spark):
     limits = spark.createDataFrame([("p", "t", 10), ("q", "t", 4), ("none", "t", None)], "purpose string, tokenizer string, capacity int")
     items = spark.createDataFrame([(1, "t", 25), (2, "t", 10), (3, "t", 5), (4, "t", 0), (5, "t", 3), (6, "t", 20)], "doc_id long, tokenizer string, size long")
